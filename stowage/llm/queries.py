@@ -22,8 +22,14 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op6_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flac import digests, to_media
+
+    return digests(to_media(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_bpe_codec)}
+    return {f.__name__: f for f in (op4_token_counts, op5_bpe_codec, op6_media_flac)}
 
 
 def oracle_sql() -> dict[str, str]:
