@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 
+def _bucket(column: str, n: int) -> Column:
+    """crc32 of a number's decimal text, modulo n; null counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -28,8 +34,18 @@ def op6_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(to_media(table(spark, sf_dir, "documents")))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = _bucket("doc_id", 3) == 1
+    model = langid.fit(docs.where(~held_out))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_bpe_codec, op6_media_flac)}
+    return {f.__name__: f for f in (op4_token_counts, op5_bpe_codec, op6_media_flac, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
