@@ -16,6 +16,14 @@ def _bucket(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, held_out = table(spark, sf_dir, "documents"), _bucket("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -45,7 +53,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_bpe_codec, op6_media_flac, op9_language_id)}
+    return {f.__name__: f for f in (op2_toxicity, op4_token_counts, op5_bpe_codec, op6_media_flac, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
