@@ -42,6 +42,12 @@ def op6_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(to_media(table(spark, sf_dir, "documents")))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -53,7 +59,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_token_counts, op5_bpe_codec, op6_media_flac, op9_language_id)}
+    return {f.__name__: f for f in (op2_toxicity, op4_token_counts, op5_bpe_codec, op6_media_flac, op7_ngram_jaccard, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
