@@ -21,6 +21,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _powers = np.ones(1, _U)
+_inverse = np.ones(1, _U)
 _letters = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _white = np.zeros(256, bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
@@ -85,16 +86,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _grown(base: int, n: int) -> np.ndarray:
+    made = np.full(max(n + 1, 1 << 16), base, _U)
+    made[0] = 1
+    return np.multiply.accumulate(made)
+
+
 def powers(n: int) -> np.ndarray:
     """B ** 0 ... B ** n modulo 2 ** 64, kept for the life of the worker."""
     global _powers
     if len(_powers) <= n:
-        made = np.full(max(n + 1, 1 << 16), _BASE, _U)
-        made[0] = 1
-        _powers = np.multiply.accumulate(made)
+        _powers = _grown(_BASE, n)
     return _powers
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """B ** 0 ... B ** -n modulo 2 ** 64; B is odd, so it has an inverse."""
+    global _inverse
+    if len(_inverse) <= n:
+        _inverse = _grown(pow(_BASE, -1, 1 << 64), n)
+    return _inverse
+
+
 def prefix_sums(codes: np.ndarray) -> np.ndarray:
     """Sums s with s[j] - s[i] = sum of letter[codes[k]] * B ** k for i <= k < j."""
     out = np.zeros(len(codes) + 1, _U)
@@ -104,8 +117,7 @@ def prefix_sums(codes: np.ndarray) -> np.ndarray:
 
 def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of codes[start:end], the same wherever the codes stand."""
-    n = len(sums) - 1
-    return (sums[end] - sums[start]) * powers(n)[n - start]
+    return (sums[end] - sums[start]) * inverse_powers(len(sums) - 1)[start]
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
