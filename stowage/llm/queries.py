@@ -58,8 +58,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import digests, remove_repeats
+
+    return digests(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_token_counts, op5_bpe_codec, op6_media_flac, op7_ngram_jaccard, op9_language_id)}
+    return {f.__name__: f for f in (op2_toxicity, op4_token_counts, op5_bpe_codec, op6_media_flac, op7_ngram_jaccard, op9_language_id, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
