@@ -235,7 +235,7 @@ def _in_blocks(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def equal_neighbours(rows: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
-    """Rows (ids) whose keys stand in another row too, by sorted ranges.
+    """Rows (keys and ids) whose keys stand in another row too, by sorted ranges.
 
     Rows are range-partitioned by keys and ids, so that a very common key spreads over buckets;
     each bucket marks equal neighbours. Only the first and last rows of buckets can have their
@@ -280,8 +280,8 @@ def equal_neighbours(rows: DataFrame, keys: list[str], ids: list[str]) -> DataFr
     found = cut(placed.select(*names).mapInArrow(run, ", ".join(f"`{n}` {fields[n]}" for n in names) + ", marked boolean, edge boolean"))
     edges = found.where("edge")
     met = edges.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-    crossing = edges.where("not marked").join(met, keys, "left_semi").select(*ids)
-    return found.where("marked").select(*ids).union(crossing)
+    crossing = edges.where("not marked").join(met, keys, "left_semi").select(*names)
+    return found.where("marked").select(*names).union(crossing)
 
 
 def _in_windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -361,8 +361,11 @@ def repeated_ranges(docs: DataFrame, length: int, text_col: str = "text", block_
     return every.select("_k1", "_k2", merged.alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept (the remaining bytes) of each text."""
+def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", block_rows: int = BLOCK_ROWS, as_text: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept (the remaining bytes) of each text.
+
+    With ``as_text`` kept is a string, without the characters that lost some of their bytes.
+    """
     own = ["n_bytes", "n_removed", "n_spans", "kept"]
     docs = docs.drop(*own, "_k1", "_k2", "_ranges")
     ranges = cut(repeated_ranges(docs, length, text_col, block_rows))
@@ -380,11 +383,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", b
                 removed += j - i
                 last = j
             rows.append((len(text), removed, len(begin or ()), b"".join([*pieces, text[last:]]) if begin else text))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        if as_text:
+            rows = [(*r[:3], r[3].decode("utf-8", "ignore")) for r in rows]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[*names, *own])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(marked, step, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_batches(marked, step, f"{schema}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def digests(kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
