@@ -15,6 +15,7 @@ ignored, so their names can't clash.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, map_batches, slices
 
 #: Labelled rows that are learnt from, at most; words of the learnt lexicon, at most.
 SAMPLE_ROWS, MAX_WORDS = 12_000, 400
@@ -37,30 +38,58 @@ LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 FEATURES = ["words", "lexicon_rate", "lexicon_any", "lexicon_count", "near_rate", "near_any", "second_rate", "capital_words", "capital_letters", "exclaim_rate", "question_rate", "mark_rate", "run_rate", "obfuscated_rate", "obfuscated_lexicon", "seed_count"]
 _words = re.compile(r"[^\W\d_]+").findall
 _mixed = re.compile(r"[^\W\d_]+[013457@$!|*]+[^\W\d_]+").findall
-_runs = re.compile(r"([^\W\d_])\1\1").findall
 _dotted = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_* ]){3,}[^\W\d_](?!\w)").findall
 NEAR = 4  # words
-
-
-def features(text: str | None, lexicon: frozenset[str], seeds: frozenset[str]) -> list[float]:
+LETTER, CAPITAL, JOINT, STAND_IN, MARK = 1, 2, 4, 8, 16
+_kinds: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """What each code point below 2 ** 16 is, as a sum of the constants above."""
+    if not _kinds:
+        chars = [chr(c) for c in range(1 << 16)]
+        rows = ((LETTER, str.isalpha), (CAPITAL, str.isupper), (JOINT, ".-_* ".__contains__), (STAND_IN, "013457@$!|*".__contains__), (MARK, ".,;:|*#_-".__contains__))
+        _kinds.append(sum(np.array([bool(test(c)) for c in chars], np.uint8) * np.uint8(flag) for flag, test in rows))
+    return _kinds[0]
+
+
+def characters(texts: list[str]) -> np.ndarray:
+    """Of each text: capitals, "!", "?", marks, letters that stand three times, letters joined one by one, and stand-ins inside words (the last two as a first look)."""
+    codes = np.frombuffer("".join([t + "\n" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds()[np.minimum(codes, (1 << 16) - 1)]
+    start = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    letter = (kind & LETTER) > 0
+    three = np.zeros(len(codes), bool)
+    three[2:] = letter[2:] & (codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2])
+    three[3:] &= ~three[2:-1]
+    inside = np.zeros(len(codes), bool)
+    inside[1:] = ((kind[1:] & STAND_IN) > 0) & letter[:-1]
+    joined = np.zeros(len(codes), bool)  # a letter, a joint, a letter, a joint and a letter
+    joint = (kind & JOINT) > 0
+    joined[4:] = letter[4:] & joint[3:-1] & letter[2:-2] & joint[1:-3] & letter[:-4]
+    flags = ((kind & CAPITAL) > 0, codes == ord("!"), codes == ord("?"), (kind & MARK) > 0, three, joined, inside)
+    return np.stack([np.add.reduceat(f, start, dtype=np.int64) for f in flags], 1)
+
+
+def features(text: str, chars: list[int], lexicon: frozenset[str], seeds: frozenset[str]) -> list[float]:
     if not text:
         return [0.0] * len(FEATURES)
+    capitals, exclaims, questions, marks, runs, joined, inside = chars
     cased = _words(text)
-    words = text.lower()
-    words = _words(words)
+    words = " ".join(cased).lower().split(" ") if cased else []
     n = max(1, len(words))
-    hits = [i for i, w in enumerate(words) if w in lexicon]
+    hits = [i for i, w in enumerate(words) if w in lexicon] if not lexicon.isdisjoint(words) else []
     second = [i for i, w in enumerate(words) if w in SECOND] if hits else []
     n_second = len(second) if hits else sum(map(SECOND.__contains__, words))
-    near = sum(1 for i in hits if second and min(abs(i - j) for j in second[max(0, np.searchsorted(second, i) - 1) : np.searchsorted(second, i) + 1]) <= NEAR)
-    mixed = _mixed(text)
-    dotted = _dotted(text)
+    near = sum(1 for i in hits if second and min(abs(i - j) for j in second[max(0, bisect_left(second, i) - 1) : bisect_left(second, i) + 1]) <= NEAR)
+    mixed = _mixed(text) if inside else []
+    dotted = _dotted(text) if joined else []
     hidden = sum(1 for w in mixed if w.lower().translate(LOOKALIKE).replace("*", "") in lexicon) + sum(1 for w in dotted if re.sub(r"\W|_", "", w).lower() in lexicon)
     length = max(1, len(text))
     return [
         float(np.log1p(len(words))), len(hits) / n, float(bool(hits)), float(min(len(hits), 50)), near / n, float(near > 0), n_second / n,
-        sum(1 for w in cased if len(w) > 1 and w.isupper()) / n, sum(map(str.isupper, text)) / length, text.count("!") / n, text.count("?") / n,
-        sum(map(text.count, ".,;:|*#_-")) / length, len(_runs(text)) / n, (len(mixed) + len(dotted)) / n, float(hidden), float(sum(1 for i in hits if words[i] in seeds)),
+        sum(1 for w in cased if w.isupper() and len(w) > 1) / n if capitals else 0.0, capitals / length, exclaims / n, questions / n,
+        marks / length, runs / n, (len(mixed) + len(dotted)) / n, float(hidden), float(sum(1 for i in hits if words[i] in seeds)),
     ]
 
 
@@ -74,8 +103,10 @@ def with_features(docs: DataFrame, lexicon: list[str], text_col: str, keep: list
 
     def step(batch: pa.RecordBatch):
         words, seeds = frozenset(lexicon), frozenset(SEEDS)
-        rows = [features(t, words, seeds) for t in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "features"])
+        texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for a, b in slices([len(t) for t in texts]):
+            rows = [features(t, c, words, seeds) for t, c in zip(texts[a:b], characters(texts[a:b]).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "features"])
 
     kept = docs.select(*keep)
     return map_batches(docs.select(*keep, F.col(text_col).cast("string").alias("_text")), step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", features array<double>")
