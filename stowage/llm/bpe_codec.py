@@ -28,7 +28,7 @@ from . import bpe
 from .common import map_batches
 
 #: Words a Python worker keeps (about 300 bytes each); longer words are never kept.
-KEPT_WORDS, KEPT_CHARS = 500_000, 48
+KEPT_WORDS, KEPT_CHARS = 200_000, 48
 #: Separators of str.split that the vocabulary's pattern takes for ordinary characters.
 _NOT_WHITE = re.compile("[\x1c-\x1f]")
 _codecs: dict[str, Codec] = {}

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a task.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch, beyond its first row; Spark's own bound is 64 MB for each of several copies.
+BATCH_BYTES = 4 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -45,16 +47,31 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.cut_path = path
+    return found
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``cut`` returned, once all that reads them has been written."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow, one generator call for each batch; batches without rows are skipped."""
+    """mapInArrow, one generator call for each batch; batches without rows are skipped.
+
+    Sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` to BATCH_BYTES.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,12 +18,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     edges = cut(edges.union(edges.select("v", "u")).distinct())
     labels = cut(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    before = labels
     while True:
         near = edges.join(labels, edges.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         own = labels.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
         lower = cut(lower.join(own, "component").select("node", F.least("component", "beyond").alias("component"), "was"))
+        forget(before)
+        before = lower
         changed = lower.where("component <> was").limit(1).count()
         labels = lower.select("node", "component")
         if not changed:
+            forget(edges)
             return labels

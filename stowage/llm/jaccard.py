@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, gram_hashes, map_batches, mix, slices, word_hashes, words
+from .common import cut, encoded, forget, gram_hashes, map_batches, mix, slices, word_hashes, words
 from .components import components
 
 #: A shingle in so many prefixes is put last in the order; doubled until the list has at most MAX_HOT.
@@ -164,7 +164,9 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, perc
     close = cut(map_batches(close.select("a", "b", "na", "nb", "sa", "sb"), bound, "a long, b long").distinct())
     sets = cut(_sets(docs, close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), n, id_col, text_col))
     both = close.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("sb")), "b")
-    return cut(map_batches(both.select("a", "b", "sa", "sb"), exact, "a long, b long").distinct())
+    found = cut(map_batches(both.select("a", "b", "sa", "sb"), exact, "a long, b long").distinct())
+    forget(close, sets)
+    return found
 
 
 def _hot_tokens(counts: DataFrame, hot: int) -> tuple[np.ndarray, int]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, inverse_powers, map_batches, mix, prefix_sums, slices, spans_hash
+from .common import cut, encoded, forget, inverse_powers, map_batches, mix, prefix_sums, slices, spans_hash
 
 #: Bytes that name an anchor.
 SEED = 32
@@ -306,8 +306,8 @@ def _in_windows(contexts: DataFrame, length: int) -> DataFrame:
     return found.groupBy("seed", "context").agg(F.collect_set("window").alias("w")).select("seed", "context", F.explode("w").alias("begin")).withColumn("end", (F.col("begin") + 1).cast("int"))
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, length: int, text_col: str) -> DataFrame:
-    """The bytes of each wanted context: seed, context, lead (first bytes of the suffix), at, windows, big, bytes."""
+def _contexts(docs: DataFrame, wanted: DataFrame, length: int, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The bytes of each wanted context: seed, context, lead (first bytes of the suffix), at, windows, big, bytes; and the cut frame that this reads."""
     packed = cut(wanted.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("seed", "context", "place", "first", "windows", "big")).alias("a")))
     texts = docs.select(*text_key(text_col), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
     both = texts.join(packed, ["_k1", "_k2"])  # repeated rows of a text repeat its contexts; they are one again below
@@ -325,7 +325,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, text_col: str) ->
             lead = [int.from_bytes(texts[r][p : p + 8], "big", signed=False) - (1 << 63) for r, p in zip(row, place, strict=True)]
             yield pa.RecordBatch.from_arrays([f["seed"], f["context"], pa.array(lead, pa.int64()), pa.array((place - first).astype(np.int32)), f["windows"], f["big"], pa.array(cut_out, pa.binary())], names=["seed", "context", "lead", "at", "windows", "big", "bytes"])
 
-    return map_batches(both.select("text", "a"), step, "seed long, context long, lead long, at int, windows int, big boolean, bytes binary")
+    return map_batches(both.select("text", "a"), step, "seed long, context long, lead long, at int, windows int, big boolean, bytes binary"), packed
 
 
 def repeated_ranges(docs: DataFrame, length: int, text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -339,16 +339,20 @@ def repeated_ranges(docs: DataFrame, length: int, text_col: str = "text", block_
     seeds = cut(counts.groupBy("seed").agg(F.sum("n").alias("total"), F.count("*").alias("contexts")).where("total > 1").select("seed", "contexts"))
     state = table.join(counts.where("n > 1"), ["seed", "context"], "left").join(seeds, "seed").select(table["*"], F.coalesce("n", F.lit(1)).alias("n"), "contexts")
     state = cut(state)
+    forget(table, counts, seeds)
     # One place of each context of a seed that has several; those that stand twice are partners only.
     one = state.where("contexts > 1").groupBy("seed", "context").agg(F.min(F.struct("_k1", "_k2", "place", "first", "windows")).alias("m"), F.first("contexts").alias("contexts"))
     wanted = one.select("m._k1", "m._k2", "seed", "context", "m.place", "m.first", "m.windows", (F.col("contexts") > block_rows).alias("big"))
-    contexts = cut(_contexts(docs, wanted, length, text_col).dropDuplicates(["seed", "context"]))
+    found, packed = _contexts(docs, wanted, length, text_col)
+    contexts = cut(found.dropDuplicates(["seed", "context"]))
+    forget(packed)
     small = contexts.where("not big").repartitionByRange("lead", "seed").sortWithinPartitions("lead", "seed")
     found = _in_blocks(small.select("seed", "context", "at", "windows", "bytes"), length)
     big = contexts.where("big")
     if big.limit(1).count():
         found = found.unionByName(_in_windows(big, length))
     found = cut(found)
+    forget(contexts)
     whole = state.where("n > 1").select("_k1", "_k2", F.col("first").alias("begin"), (F.col("first") + F.col("windows") - 1 + length).alias("end"))
     part = state.where("n = 1").join(found, ["seed", "context"]).select("_k1", "_k2", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end") - 1 + length).alias("end"))
     # At most one range for each window of a text, and one for each of its anchors as a rule.
@@ -358,7 +362,9 @@ def repeated_ranges(docs: DataFrame, length: int, text_col: str = "text", block_
         F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)"),
         lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["begin"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["begin"].alias("begin"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
     )
-    return every.select("_k1", "_k2", merged.alias("ranges"))
+    ranges = cut(every.select("_k1", "_k2", merged.alias("ranges")))
+    forget(state, found)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", block_rows: int = BLOCK_ROWS, as_text: bool = False) -> DataFrame:
@@ -368,7 +374,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", b
     """
     own = ["n_bytes", "n_removed", "n_spans", "kept"]
     docs = docs.drop(*own, "_k1", "_k2", "_ranges")
-    ranges = cut(repeated_ranges(docs, length, text_col, block_rows))
+    ranges = repeated_ranges(docs, length, text_col, block_rows)
     names = docs.columns
     marked = docs.select("*", *text_key(text_col)).join(ranges.withColumnRenamed("ranges", "_ranges"), ["_k1", "_k2"], "left").select(*names, F.struct(F.col(text_col).cast("string").alias("text"), F.transform("_ranges", lambda r: r["begin"]).alias("begin"), F.transform("_ranges", lambda r: r["end"]).alias("end")).alias("_work"))
     at = len(names)

@@ -21,7 +21,7 @@ from . import bpe
 from .common import map_batches
 
 #: Words whose counts a Python worker keeps (about 150 bytes each); longer words are never kept.
-KEPT_WORDS, KEPT_CHARS = 800_000, 48
+KEPT_WORDS, KEPT_CHARS = 300_000, 48
 MARK = "▁"  # stands for a space in the vocabulary
 _counters: dict[str, Counter] = {}
 
