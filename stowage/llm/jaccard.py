@@ -31,7 +31,7 @@ from .common import cut, encoded, forget, gram_hashes, map_batches, mix, slices,
 from .components import components
 
 #: A shingle in so many prefixes is put last in the order; doubled until the list has at most MAX_HOT.
-HOT, MAX_HOT = 32, 500_000
+HOT, MAX_HOT = 32, 200_000
 #: Rows of a table that may be broadcast; a larger one is joined by shuffling.
 MAX_BROADCAST = 3_000_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -224,24 +224,11 @@ def prefixes(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col:
         chosen = chosen.where("not short").drop("short").unionByName(longer)
     else:
         chosen, counts = chosen.drop("short"), counts.select("tok")
-    if _small(counts):
-        kept = spark.sparkContext.broadcast(np.sort(counts.toPandas()["tok"].to_numpy(np.int32)))
-
-        def narrow(batch: pa.RecordBatch):
-            toks = batch.column(3)
-            flat, at = toks.flatten().to_numpy(), toks.offsets.to_numpy() - toks.offsets[0].as_py()
-            k = kept.value
-            keep = k[np.minimum(np.searchsorted(k, flat), len(k) - 1)] == flat if len(k) else np.zeros(len(flat), bool)
-            row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            per = np.bincount(row[keep], minlength=len(at) - 1)
-            key = np.zeros(len(at) - 1, np.int64)  # of the whole prefix
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat.astype(np.int64).view(np.uint64)))))
-            key = (sums[at[1:]] - sums[at[:-1]]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32)), pa.array(flat[keep]))], names=["gid", "n", "pk", "toks"])
-
-        return cut(map_batches(chosen, narrow, "gid long, n long, pk long, toks array<int>"))
-    rows = chosen.select("gid", "n", F.xxhash64("toks").alias("pk"), F.explode("toks").alias("tok"))
-    return cut(rows.join(counts, "tok", "left_semi").groupBy("gid", "n", "pk").agg(F.collect_list("tok").alias("toks")))
+    # Two columns at most go through the shuffle of all prefix tokens; a token in one prefix only joins nothing.
+    chosen = cut(chosen)
+    rows = chosen.select(F.explode("toks").alias("tok"), "gid").join(counts, "tok", "left_semi")
+    shared_toks = rows.groupBy("gid").agg(F.sort_array(F.collect_list("tok")).alias("toks"))
+    return cut(chosen.select("gid", "n", F.xxhash64("toks").alias("pk")).join(shared_toks, "gid"))
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
