@@ -8,8 +8,9 @@ very many prefixes hold put last, so that no bucket of the join is large for a c
 1. ``signatures``: size, 128-bit key, first shingles and a sketch of each document's set.
 2. Classes that also have the same prefix and size form a group, which joins as one.
 3. Groups that share a prefix shingle are candidates. First each bucket's smallest group is
-   paired with the others (linear in the rows); verified links are joined into components;
-   then all pairs of a bucket that are still in different components follow. Pairs inside a
+   paired with the others (linear in the rows); verified links are joined into components, and
+   ROUNDS more rounds pair the rows of a bucket with centres outside their component; then all
+   pairs of a bucket that are still in different components follow. Pairs inside a
    component can't change the result and are never made.
 4. Candidates expand to their classes; a sketch bounds the overlap from above and drops most;
    the rest are verified on whole sets.
@@ -32,6 +33,8 @@ from .components import components
 
 #: A shingle in so many prefixes is put last in the order; doubled until the list has at most MAX_HOT.
 HOT, MAX_HOT = 32, 200_000
+#: Rounds in which the rows of a bucket meet a centre, before all pairs that are still apart; centres of similar buckets.
+ROUNDS, CENTRES = 3, 4
 #: Rows of a table that may be broadcast; a larger one is joined by shuffling.
 MAX_BROADCAST = 3_000_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -54,7 +57,7 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
             x = h[first[short]]
             for k in range(1, size):
                 x = mix(x) + h[first[short] + k] * np.uint64(2 * k + 1)
-            grams, who = np.concatenate((grams, mix(x + _SALT * np.uint64(size)))), np.concatenate((who, short))
+            grams, who = np.concatenate((grams, mix(x + np.uint64(int(_SALT) * size % (1 << 64))))), np.concatenate((who, short))
     order = np.argsort(grams)
     who = who[order].astype(np.int16 if len(texts) < 1 << 15 else np.int64)
     order = order[np.argsort(who, kind="stable")]
@@ -250,12 +253,26 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str
     inner = members.where("grp <> gid").select(F.col("grp").alias("a"), F.col("gid").alias("b"))
     found = verified(docs, expanded(star).union(inner).distinct(), classes, n, percent, id_col, text_col)
 
-    of = components(found)
-    # What is in a component already needs no pair; a group whose members are apart stands for each of its components.
-    comp = members.join(of, members.gid == of.node, "left").select("grp", "gid", "n", F.coalesce("component", "gid").alias("comp"))
-    at = rows.drop("n").join(comp, "grp").select("tok", "gid", "n", "comp")
-    mixed = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    at = cut(at.join(mixed, "tok", "left_semi"))
+    def apart_in_buckets() -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the rows of the buckets that hold several components."""
+        of = components(found)
+        comp = members.join(of, members.gid == of.node, "left").select("grp", "gid", "n", F.coalesce("component", "gid").alias("comp"))
+        at = rows.drop("n").join(comp, "grp").select("tok", "gid", "n", "comp")
+        mixed = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
+        return comp, cut(at.join(mixed, "tok", "left_semi"))
+
+    # What is in a component already needs no pair. Further rounds pair the rows of a bucket with other centres of it.
+    for k in range(ROUNDS):
+        comp, at = apart_in_buckets()
+        order = F.xxhash64("gid", F.pmod("tok", F.lit(CENTRES)), F.lit(k))
+        centre = at.groupBy("tok").agg(F.min(F.struct(order.alias("o"), "gid", "n", "comp")).alias("m"))
+        near = at.join(centre, "tok").where((F.col("comp") != F.col("m.comp")) & (F.least("n", "m.n") * 100 >= F.greatest("n", "m.n") * percent))
+        near = cut(near.select(F.least("gid", "m.gid").alias("a"), F.greatest("gid", "m.gid").alias("b")).distinct())
+        forget(at)
+        if not near.limit(1).count():
+            break
+        found = cut(found.union(verified(docs, near, classes, n, percent, id_col, text_col)))
+    comp, at = apart_in_buckets()
     one, two = (at.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("gid", "n", "comp"))) for k in (1, 2))
     rest = one.join(two, "tok").where((F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("gid1") < F.col("gid2")))) & fits)
     rest = rest.select(F.least("gid1", "gid2").alias("a"), F.greatest("gid1", "gid2").alias("b")).distinct()
