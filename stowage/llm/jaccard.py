@@ -12,6 +12,7 @@ very many prefixes hold put last, so that no bucket of the join is large for a c
    ROUNDS more rounds pair the rows of a bucket with centres outside their component; then all
    pairs of a bucket that are still in different components follow. Pairs inside a
    component can't change the result and are never made.
+   A pair must also have room for its overlap from the token on by which it meets.
 4. Candidates expand to their classes; a sketch bounds the overlap from above and drops most;
    the rest are verified on whole sets.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, encoded, forget, gram_hashes, map_batches, mix, slices, word_hashes, words
@@ -180,7 +181,7 @@ def _hot_tokens(counts: DataFrame, hot: int) -> tuple[np.ndarray, int]:
 
 
 def prefixes(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
-    """(gid, n, toks): the prefix of each class under the order with hot tokens last, without tokens that no two prefixes share."""
+    """(gid, n, pk, toks): the prefix of each class under the order with hot tokens last, as places and tokens, without tokens that no two prefixes share."""
     spark = docs.sparkSession
     counts = cut(classes.select(F.explode("pre").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"))
     hot_list, hot = _hot_tokens(counts, hot)
@@ -229,8 +230,8 @@ def prefixes(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col:
         chosen, counts = chosen.drop("short"), counts.select("tok")
     # Two columns at most go through the shuffle of all prefix tokens; a token in one prefix only joins nothing.
     chosen = cut(chosen)
-    rows = chosen.select(F.explode("toks").alias("tok"), "gid").join(counts, "tok", "left_semi")
-    shared_toks = rows.groupBy("gid").agg(F.sort_array(F.collect_list("tok")).alias("toks"))
+    rows = chosen.select("gid", F.posexplode("toks").alias("at", "tok")).join(counts, "tok", "left_semi")
+    shared_toks = rows.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("at", "tok"))).alias("toks"))
     return cut(chosen.select("gid", "n", F.xxhash64("toks").alias("pk")).join(shared_toks, "gid"))
 
 
@@ -240,16 +241,20 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str
     groups = pre.groupBy("n", "pk").agg(F.min(F.struct("gid", "toks")).alias("g")).select("n", "pk", F.col("g.gid").alias("grp"), F.col("g.toks").alias("toks"))
     members = cut(pre.join(groups.select("n", "pk", "grp"), ["n", "pk"]).select("grp", "gid", "n"))
     # A group's own token joins its members; a prefix token joins groups.
-    rows = cut(groups.select("grp", "n", F.explode("toks").alias("tok")))
-    fits = F.col("n1") * 100 >= F.col("n2") * percent
+    rows = cut(groups.select("grp", "n", F.explode("toks").alias("t")).select("grp", "n", "t.tok", "t.at"))
+
+    def fits(n1: str, at1: str, n2: str, at2: str) -> Column:
+        """Sizes within the threshold; and from this token on, as if it were the first in common, enough shingles in both."""
+        sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+        return sizes & (F.least(F.col(n1) - F.col(at1), F.col(n2) - F.col(at2)) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent)
 
     def expanded(pairs: DataFrame) -> DataFrame:
         """Pairs of groups as pairs of members."""
         x, y = members.select(F.col("grp").alias("g1"), F.col("gid").alias("a")), members.select(F.col("grp").alias("g2"), F.col("gid").alias("b"))
         return pairs.join(x, "g1").join(y, "g2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    least = rows.groupBy("tok").agg(F.min(F.struct("n", "grp")).alias("m"), F.count("*").alias("size")).where("size > 1")
-    star = rows.join(least, "tok").select(F.col("m.grp").alias("g1"), F.col("m.n").alias("n1"), F.col("grp").alias("g2"), F.col("n").alias("n2")).where((F.col("g1") != F.col("g2")) & fits).select("g1", "g2").distinct()
+    least = rows.groupBy("tok").agg(F.min(F.struct("n", "grp", "at")).alias("m"), F.count("*").alias("size")).where("size > 1")
+    star = rows.join(least, "tok").where((F.col("m.grp") != F.col("grp")) & fits("m.n", "m.at", "n", "at")).select(F.col("m.grp").alias("g1"), F.col("grp").alias("g2")).distinct()
     inner = members.where("grp <> gid").select(F.col("grp").alias("a"), F.col("gid").alias("b"))
     found = verified(docs, expanded(star).union(inner).distinct(), classes, n, percent, id_col, text_col)
 
@@ -257,7 +262,7 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str
         """Members with their components, and the rows of the buckets that hold several components."""
         of = components(found)
         comp = members.join(of, members.gid == of.node, "left").select("grp", "gid", "n", F.coalesce("component", "gid").alias("comp"))
-        at = rows.drop("n").join(comp, "grp").select("tok", "gid", "n", "comp")
+        at = rows.drop("n").join(comp, "grp").select("tok", "at", "gid", "n", "comp")
         mixed = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
         return comp, cut(at.join(mixed, "tok", "left_semi"))
 
@@ -265,16 +270,16 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str
     for k in range(ROUNDS):
         comp, at = apart_in_buckets()
         order = F.xxhash64("gid", F.pmod("tok", F.lit(CENTRES)), F.lit(k))
-        centre = at.groupBy("tok").agg(F.min(F.struct(order.alias("o"), "gid", "n", "comp")).alias("m"))
-        near = at.join(centre, "tok").where((F.col("comp") != F.col("m.comp")) & (F.least("n", "m.n") * 100 >= F.greatest("n", "m.n") * percent))
+        centre = at.groupBy("tok").agg(F.min(F.struct(order.alias("o"), "gid", "n", "comp", "at")).alias("m"))
+        near = at.join(centre, "tok").where((F.col("comp") != F.col("m.comp")) & fits("n", "at", "m.n", "m.at"))
         near = cut(near.select(F.least("gid", "m.gid").alias("a"), F.greatest("gid", "m.gid").alias("b")).distinct())
         forget(at)
         if not near.limit(1).count():
             break
         found = cut(found.union(verified(docs, near, classes, n, percent, id_col, text_col)))
     comp, at = apart_in_buckets()
-    one, two = (at.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("gid", "n", "comp"))) for k in (1, 2))
-    rest = one.join(two, "tok").where((F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("gid1") < F.col("gid2")))) & fits)
+    one, two = (at.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("gid", "n", "comp", "at"))) for k in (1, 2))
+    rest = one.join(two, "tok").where((F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("gid1") < F.col("gid2")))) & fits("n1", "at1", "n2", "at2"))
     rest = rest.select(F.least("gid1", "gid2").alias("a"), F.greatest("gid1", "gid2").alias("b")).distinct()
     split = comp.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
     apart = comp.join(split, "grp", "left_semi")
