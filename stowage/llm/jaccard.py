@@ -3,7 +3,8 @@
 Documents with equal shingle sets are one class. The shingles of a set are put in one global
 order, and two sets whose Jaccard index reaches the threshold share a shingle among the first
 p = n - ceil(threshold * n) + 1 of each. The order is that of the hashes, with shingles that
-very many prefixes hold put last, so that no bucket of the join is large for a common passage.
+very many prefixes hold put last, the rarest of them first, so that no bucket of the join is
+large for a common passage.
 
 1. ``signatures``: size, 128-bit key, first shingles and a sketch of each document's set.
 2. Classes that also have the same prefix and size form a group, which joins as one.
@@ -173,51 +174,83 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, perc
     return found
 
 
-def _hot_tokens(counts: DataFrame, hot: int) -> tuple[np.ndarray, int]:
+def _hot_tokens(counts: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that ``hot`` prefixes or more hold, in order, and the rank of each by its count; MAX_HOT at most."""
     while counts.where(F.col("df") >= hot).limit(MAX_HOT + 1).count() > MAX_HOT:
         hot *= 2  # any threshold gives a valid order
-    found = counts.where(F.col("df") >= hot).select("tok").toPandas()["tok"].to_numpy(np.int64)
-    return np.sort(found), hot
+    found = counts.where(F.col("df") >= hot).select("tok", "df").toPandas().sort_values("tok")
+    toks, df = found["tok"].to_numpy(np.int64), found["df"].to_numpy(np.int64)
+    rank = np.empty(len(toks), np.int32)
+    rank[np.lexsort((toks, df))] = np.arange(len(toks), dtype=np.int32)
+    return toks, rank
+
+
+def _find(hot: np.ndarray, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each token is hot, and its place in the list."""
+    if not len(hot):
+        return np.zeros(len(toks), bool), np.zeros(len(toks), np.int64)
+    at = np.minimum(np.searchsorted(hot, toks), len(hot) - 1)
+    return hot[at] == toks, at
+
+
+def _whole_counts(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(tok, df): how many of the documents in ids hold each token, over their whole sets."""
+
+    def count(batch: pa.RecordBatch):
+        toks, df = np.unique(tokens(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(toks.astype(np.int32)), pa.array(df.astype(np.int64))], names=["tok", "df"])
+
+    return map_batches(_sets(docs, ids, n, id_col, text_col), count, "tok int, df long").groupBy("tok").agg(F.sum("df").alias("df"))
 
 
 def prefixes(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
-    """(gid, n, pk, toks): the prefix of each class under the order with hot tokens last, as places and tokens, without tokens that no two prefixes share."""
+    """(gid, n, pk, toks): the prefix of each class under the order with hot tokens last, rarer ones first, as places and tokens, without tokens that no two prefixes share."""
     spark = docs.sparkSession
     counts = cut(classes.select(F.explode("pre").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"))
-    hot_list, hot = _hot_tokens(counts, hot)
-    shared = spark.sparkContext.broadcast(hot_list)  # MAX_HOT numbers at most
-
-    def choose(batch: pa.RecordBatch):
-        """The first p cold tokens, or none and short = true where the kept ones don't reach."""
-        pre, p, size = batch.column(3), batch.column(2).to_numpy(), batch.column(1).to_numpy()
-        flat, at = pre.flatten().to_numpy().astype(np.int64), pre.offsets.to_numpy() - pre.offsets[0].as_py()
-        per = np.diff(at)
-        h = shared.value
-        is_hot = (h[np.minimum(np.searchsorted(h, flat), len(h) - 1)] == flat) if len(h) else np.zeros(len(flat), bool)
-        row = np.repeat(np.arange(len(per)), per)
-        cold = np.cumsum(~is_hot)
-        before = np.concatenate(([0], cold))[at[:-1]]
-        keep = ~is_hot & (cold - before[row] <= p[row])
-        got = np.bincount(row[keep], minlength=len(per))
-        some_hot = np.bincount(row[is_hot], minlength=len(per)) > 0
-        short = some_hot & (got < p)
-        keep &= ~short[row]
-        n_kept = np.bincount(row[keep], minlength=len(per))
-        out = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_kept))).astype(np.int32)), pa.array(flat[keep].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(p), out, pa.array(short)], names=["gid", "n", "p", "toks", "short"])
-
-    chosen = map_batches(classes.select("gid", "n", "p", "pre"), choose, "gid long, n long, p long, toks array<int>, short boolean")
-    if len(hot_list):
-        chosen = cut(chosen)
+
+    def chosen_by(hot_toks: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast(hot_toks)  # MAX_HOT numbers at most
+
+        def choose(batch: pa.RecordBatch):
+            """The first p cold tokens, or none and short = true where the kept ones don't reach."""
+            pre, p, size = batch.column(3), batch.column(2).to_numpy(), batch.column(1).to_numpy()
+            flat, at = pre.flatten().to_numpy().astype(np.int64), pre.offsets.to_numpy() - pre.offsets[0].as_py()
+            per = np.diff(at)
+            is_hot = _find(shared.value, flat)[0]
+            row = np.repeat(np.arange(len(per)), per)
+            cold = np.cumsum(~is_hot)
+            before = np.concatenate(([0], cold))[at[:-1]]
+            keep = ~is_hot & (cold - before[row] <= p[row])
+            got = np.bincount(row[keep], minlength=len(per))
+            some_hot = np.bincount(row[is_hot], minlength=len(per)) > 0
+            short = some_hot & (got < p)
+            keep &= ~short[row]
+            n_kept = np.bincount(row[keep], minlength=len(per))
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_kept))).astype(np.int32)), pa.array(flat[keep].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(p), out, pa.array(short)], names=["gid", "n", "p", "toks", "short"])
+
+        return map_batches(classes.select("gid", "n", "p", "pre"), choose, "gid long, n long, p long, toks array<int>, short boolean")
+
+    hot_toks, rank = _hot_tokens(counts, hot)
+    if len(hot_toks):
+        # Past the tokens counted so far, a short document's next ones can be as frequent: count them whole.
+        short = cut(chosen_by(hot_toks).where("short").select(F.col("gid").alias("id")))
+        whole = cut(_whole_counts(docs, short, n, id_col, text_col).where(F.col("df") >= hot))
+        hot_toks, rank = _hot_tokens(counts.union(whole).groupBy("tok").agg(F.max("df").alias("df")), hot)
+        forget(short, whole)
+        chosen = cut(chosen_by(hot_toks))
         sets = _sets(docs, chosen.where("short").select(F.col("gid").alias("id")), n, id_col, text_col)
+        shared = spark.sparkContext.broadcast((hot_toks, rank))  # twice MAX_HOT numbers at most
 
         def extend(batch: pa.RecordBatch):
-            h, toks, size, most = shared.value, [], [], []
+            h, ranks = shared.value
+            toks, size, most = [], [], []
             for g in batch.column(1).to_pylist():
                 t = tokens(np.frombuffer(g, np.uint64))
-                is_hot = h[np.minimum(np.searchsorted(h, t), len(h) - 1)] == t
+                is_hot, at = _find(h, t)
                 p = int(prefix_size(np.array(len(t)), percent))
-                toks.append(np.concatenate((t[~is_hot], t[is_hot]))[:p].astype(np.int32))
+                last = t[is_hot][np.argsort(ranks[at[is_hot]], kind="stable")]
+                toks.append(np.concatenate((t[~is_hot], last))[:p].astype(np.int32))
                 size.append(len(t))
                 most.append(p)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(most, pa.int64()), pa.array(toks, pa.list_(pa.int32()))], names=["gid", "n", "p", "toks"])
@@ -227,7 +260,7 @@ def prefixes(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col:
         counts = cut(counts.select("tok").union(longer.select(F.explode("toks").alias("tok"))).distinct())
         chosen = chosen.where("not short").drop("short").unionByName(longer)
     else:
-        chosen, counts = chosen.drop("short"), counts.select("tok")
+        chosen, counts = chosen_by(hot_toks).drop("short"), counts.select("tok")
     # Two columns at most go through the shuffle of all prefix tokens; a token in one prefix only joins nothing.
     chosen = cut(chosen)
     rows = chosen.select("gid", F.posexplode("toks").alias("at", "tok")).join(counts, "tok", "left_semi")
