@@ -291,26 +291,30 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str
     inner = members.where("grp <> gid").select(F.col("grp").alias("a"), F.col("gid").alias("b"))
     found = verified(docs, expanded(star).union(inner).distinct(), classes, n, percent, id_col, text_col)
 
-    def apart_in_buckets() -> tuple[DataFrame, DataFrame]:
-        """Members with their components, and the rows of the buckets that hold several components."""
+    def apart_in_buckets(before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the rows of the buckets that hold several components; only buckets that did so before can."""
         of = components(found)
         comp = members.join(of, members.gid == of.node, "left").select("grp", "gid", "n", F.coalesce("component", "gid").alias("comp"))
-        at = rows.drop("n").join(comp, "grp").select("tok", "at", "gid", "n", "comp")
+        at = rows.drop("n").join(comp, "grp") if before is None else before.drop("comp").join(comp.select("gid", "comp"), "gid")
+        at = at.select("tok", "at", "gid", "n", "comp")
         mixed = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-        return comp, cut(at.join(mixed, "tok", "left_semi"))
+        found_at = cut(at.join(mixed, "tok", "left_semi"))
+        if before is not None:
+            forget(before)
+        return comp, found_at
 
     # What is in a component already needs no pair. Further rounds pair the rows of a bucket with other centres of it.
+    at = None
     for k in range(ROUNDS):
-        comp, at = apart_in_buckets()
+        comp, at = apart_in_buckets(at)
         order = F.xxhash64("gid", F.pmod("tok", F.lit(CENTRES)), F.lit(k))
         centre = at.groupBy("tok").agg(F.min(F.struct(order.alias("o"), "gid", "n", "comp", "at")).alias("m"))
         near = at.join(centre, "tok").where((F.col("comp") != F.col("m.comp")) & fits("n", "at", "m.n", "m.at"))
         near = cut(near.select(F.least("gid", "m.gid").alias("a"), F.greatest("gid", "m.gid").alias("b")).distinct())
-        forget(at)
         if not near.limit(1).count():
             break
         found = cut(found.union(verified(docs, near, classes, n, percent, id_col, text_col)))
-    comp, at = apart_in_buckets()
+    comp, at = apart_in_buckets(at)
     one, two = (at.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("gid", "n", "comp", "at"))) for k in (1, 2))
     rest = one.join(two, "tok").where((F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("gid1") < F.col("gid2")))) & fits("n1", "at1", "n2", "at2"))
     rest = rest.select(F.least("gid1", "gid2").alias("a"), F.greatest("gid1", "gid2").alias("b")).distinct()
