@@ -1,12 +1,18 @@
-"""Operator 8: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
-
-Words are runs of letters and digits of the lower-cased text. Every n-gram of a test item is
-counted over all documents; in each SPACING consecutive n-grams of an item the rarest one is a
-seed (the first on ties), so that any SPACING + n - 1 copied words in a row hold a seed however
-common the item is. Documents in which two seeds of an item stand near each other (one, for items
-with a single seed) are aligned with the item around these seeds; an alignment gets MATCH for each
-equal word and loses GAP for each word replaced, left out or put in. A document holds an item if
-the best alignment reaches ``least`` of what the item itself would get.
+"""Operator 8: benchmark decontamination by rare seeds and Smith-Waterman alignment.
+
+Words are runs of letters and digits of the lower-cased text. An alignment gets MATCH for each equal
+word and loses GAP for each word replaced, left out or put in. A document holds an item if the best
+alignment reaches ``least`` of what the item itself would get.
+
+Seeds only save alignments, they never decide. An alignment that reaches ``least`` matches at least
+need = least * size of an item's size words, so at least HITS of any size - need + HITS of them. The
+seeds of an item are that many of its words, those that stand in the fewest documents: words that an
+edit made up stand in none and cost nothing. Longer n-grams can't be asked for: a copy with every
+third word replaced shares no trigram and aligns at over 0.5. Each word of the document inside an
+alignment is matched or costs GAP; so a stretch with h seeds can hold an alignment only if its length
+leaves (MATCH + GAP) * (h + need - HITS) - GAP * length at least, and then only if its words that
+stand in the item at all weigh enough. What is left is aligned; the rows are those of aligning every
+document with every item.
 
 The items are joined by broadcasting their seeds and words, MAX_WORDS words at a time: a larger
 benchmark takes several passes over the documents, never a larger broadcast.
@@ -20,6 +26,7 @@ clash.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -27,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gram_hashes, map_batches, slices, word_hashes, words
+from .common import cut, map_batches, slices, word_hashes, words
 
-GRAM, SPACING, LEAST = 3, 4, 0.5
+GRAM, LEAST = 3, 0.5
 MATCH, GAP = 2, 1
+#: Seeds that must meet within a span, at most; more make the filter sharper and the seeds more common.
+HITS = 4
 #: Words of items that one pass broadcasts, at most.
 MAX_WORDS = 1_000_000
 _U = np.uint64
@@ -47,17 +56,13 @@ def normalised(text: str | None) -> bytes:
 
 
 class Words:
-    """Hashes of the words and n-grams of some texts."""
+    """Hashes of the words of some texts."""
 
-    def __init__(self, texts: list[bytes], n: int):
+    def __init__(self, texts: list[bytes]):
         joined, _, self.owner, start, end = words(texts)
         self.word = word_hashes(joined, start, end)
         self.per = np.bincount(self.owner, minlength=len(texts))
         self.first = np.cumsum(self.per) - self.per
-        grams = gram_hashes(self.word, n)
-        whole = self.owner[: len(grams)] == self.owner[n - 1 :] if len(grams) else np.zeros(0, bool)
-        self.at = np.flatnonzero(whole)  # word at which each n-gram begins
-        self.gram = grams[whole]
 
 
 class Known:
@@ -77,25 +82,30 @@ class Known:
 
 
 class Items:
-    """Test items of one pass: words, n-grams and, once their counts are known, seeds."""
-
-    def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.n, self.ids = n, [r[0] for r in rows]
-        w = Words([normalised(r[1]) for r in rows], n)
-        self.word = [w.word[a : a + k] for a, k in zip(w.first, w.per, strict=True)]
-        self.owner, self.at, self.gram = w.owner[w.at], w.at - w.first[w.owner[w.at]], w.gram
-
-    def choose(self, counts: dict[int, int], spacing: int) -> None:
-        """Seeds: n-gram hashes, with the items and places at which each stands."""
-        df = np.array([counts.get(int(g), 0) for g in self.gram.astype(np.int64)], np.int64)
-        keep = np.zeros(len(self.gram), bool)
-        for item in np.unique(self.owner):
-            own = np.flatnonzero(self.owner == item)
-            for i in range(max(1, len(own) - spacing + 1)):
-                keep[own[i + int(df[own[i : i + spacing]].argmin())]] = True
-        order = np.flatnonzero(keep)[np.argsort(self.gram[keep], kind="stable")]
-        self.seed, self.seed_item, self.seed_at = self.gram[order], self.owner[order], self.at[order]
-        self.seeds_of = np.bincount(self.seed_item, minlength=len(self.ids))
+    """Test items of one pass: words and, once their counts are known, seeds."""
+
+    def __init__(self, rows: list[tuple[int, str]], n: int, least: float):
+        w = Words([normalised(r[1]) for r in rows])
+        every = [(r[0], w.word[a : a + k]) for r, a, k in zip(rows, w.first, w.per, strict=True) if k >= n]
+        self.ids, self.word = [i for i, _ in every], [x for _, x in every]
+        self.known = [np.unique(x) for x in self.word]
+        self.size = np.array([len(x) for x in self.word], np.int64)
+        self.need = np.array([max(1, math.ceil(least * k - 1e-9)) for k in self.size], np.int64)
+        self.least = np.ceil(least * MATCH * self.size - 1e-9).astype(np.int64)
+        self.hits = np.minimum(self.need, HITS)
+        self.span = np.array([k + max(0, math.floor(MATCH * k * (1 - least) / GAP + 1e-9)) for k in self.size], np.int64)
+
+    def choose(self, counts: dict[int, int]) -> None:
+        """Seeds: word hashes, with the items in which each stands."""
+        seeds = [np.zeros(0, _U)]
+        for k, x in enumerate(self.word):
+            df = np.array([counts.get(int(h), 0) for h in x.astype(np.int64)], np.int64)
+            rare = np.argsort(df, kind="stable")[: self.size[k] - self.need[k] + self.hits[k]]
+            seeds.append(np.unique(x[rare[df[rare] > 0]]))
+        seed = np.concatenate(seeds)
+        item = np.repeat(np.arange(len(self.word)), [len(x) for x in seeds[1:]])
+        order = np.argsort(seed, kind="stable")
+        self.seed, self.seed_item = seed[order], item[order]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> int:
@@ -111,41 +121,48 @@ def align(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
+def _stretches(w: Words, items: Items, known: Known) -> tuple[np.ndarray, ...]:
+    """Text, item, begin and end of the words around each place where enough of an item's seeds meet, in order."""
+    at = known.places(w.word)
+    low, high = (np.searchsorted(items.seed, w.word[at], side) for side in ("left", "right"))
+    many = high - low
+    at = np.repeat(at, many)
+    item = items.seed_item[np.repeat(low, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
+    pair = w.owner[at] * len(items.ids) + item
+    order = np.argsort(pair, kind="stable")
+    at, item, pair = at[order], item[order], pair[order]
+    # Best of all stretches that end at a hit: the weight to there less the smallest one before, hits[item] hits back.
+    new = np.ones(len(at), bool)
+    new[1:] = pair[1:] != pair[:-1]
+    group = np.cumsum(new)
+    weight = (MATCH + GAP) * np.arange(len(at)) - GAP * at - group * ((MATCH + 2 * GAP) * (len(w.word) + len(at)))  # each group lies below the one before
+    low = np.minimum.accumulate(weight)
+    back = np.arange(len(at)) - items.hits[item] + 1
+    i = np.flatnonzero(back >= 0)
+    i = i[pair[back[i]] == pair[i]]
+    i = i[weight[i] - low[back[i]] + MATCH + (MATCH + GAP) * (items.need - items.hits)[item[i]] >= items.least[item[i]]]
+    text, span = w.owner[at[i]], items.span[item[i]]
+    return text, item[i], np.maximum(at[i] - span + 1, w.first[text]), np.minimum(at[i] + span, w.first[text] + w.per[text])
+
+
 def _places(w: Words, items: Items, known: Known) -> list[tuple[int, int, int]]:
-    """(text, item, score) of the texts in which an item's seeds stand near each other."""
-    hit = known.places(w.gram)
-    if not len(hit):
+    """(text, item, score) of the texts that hold enough of an item's words within a span."""
+    text, item, begin, end = _stretches(w, items, known)
+    if not len(text):
         return []
-    low, high = (np.searchsorted(items.seed, w.gram[hit], side) for side in ("left", "right"))
-    many = high - low
-    hit = np.repeat(hit, many)
-    which = np.repeat(low, many) + np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many)
-    at, item, own = w.at[hit], items.seed_item[which], items.seed_at[which]
-    text = w.owner[at]
-    order = np.lexsort((at, item, text))
-    at, item, own, text = at[order], item[order], own[order], text[order]
-    out = []
-    edge = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]), [True])))
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        t, k = int(text[a]), int(item[a])
-        words_of = items.word[k]
-        size = len(words_of)
-        x, y = at[a:b], own[a:b]
-        need = min(2, int(items.seeds_of[k]))
-        if b - a < need:
-            continue
-        # Stretches of hits no further apart than an item is long.
-        cuts = np.flatnonzero(np.diff(x) > size) + 1
-        best = 0
-        for i, j in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(x)])), strict=True):
-            if len(np.unique(y[i:j])) < need:
-                continue
-            first, stop = w.first[t], w.first[t] + w.per[t]
-            begin, end = max(first, x[i] - size - y[i : j].max()), min(stop, x[j - 1] + 2 * size)
-            best = max(best, align(words_of, w.word[begin:end]))
-        if best:
-            out.append((t, k, best))
-    return out
+    # Stretches of a text and item that overlap are one.
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(text)) - 1
+    best: dict[tuple[int, int], int] = {}
+    for t, k, a, b in zip(text[start].tolist(), item[start].tolist(), begin[start].tolist(), end[stop].tolist(), strict=True):
+        x, own = w.word[a:b], items.known[k]
+        weight = np.zeros(len(x) + 1, np.int64)
+        np.cumsum(np.where(own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x, MATCH, -GAP), out=weight[1:])
+        if (weight - np.minimum.accumulate(weight)).max() >= items.least[k]:
+            best[t, k] = max(best.get((t, k), 0), align(items.word[k], x))
+    return [(t, k, s) for (t, k), s in best.items() if s]
 
 
 def _passes(items: DataFrame, id_col: str, text_col: str, max_words: int):
@@ -168,28 +185,28 @@ def matches(docs: DataFrame, items: DataFrame, n: int = GRAM, least: float = LEA
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = None
     for rows in _passes(items, item_col, item_text, max_words):
-        chosen = Items(rows, n)
-        if not len(chosen.gram):
+        chosen = Items(rows, n, least)
+        if not chosen.ids:
             continue
-        shared = spark.sparkContext.broadcast(np.unique(chosen.gram))
+        shared = spark.sparkContext.broadcast(np.unique(np.concatenate(chosen.word)))
 
         def count(batch: pa.RecordBatch, shared=shared):
             known = _kept(shared, lambda: Known(shared.value))
             texts = batch.column(0).to_pylist()
             for a, b in slices([len(t or "") for t in texts]):
-                w = Words([normalised(t) for t in texts[a:b]], n)
-                hit = known.places(w.gram)
-                owner = w.owner[w.at[hit]]
-                order = np.lexsort((w.gram[hit], owner))
-                g, o = w.gram[hit][order], owner[order]
-                new = np.ones(len(g), bool)
-                new[1:] = (g[1:] != g[:-1]) | (o[1:] != o[:-1])
-                gram, k = np.unique(g[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(k)], names=["gram", "n"])
-
-        # A row for each distinct n-gram of this pass at most.
-        counts = {r["gram"]: r["n"] for r in map_batches(texts.select("text"), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-        chosen.choose(counts, SPACING)
+                w = Words([normalised(t) for t in texts[a:b]])
+                hit = known.places(w.word)
+                owner = w.owner[hit]
+                order = np.lexsort((w.word[hit], owner))
+                x, o = w.word[hit][order], owner[order]
+                new = np.ones(len(x), bool)
+                new[1:] = (x[1:] != x[:-1]) | (o[1:] != o[:-1])
+                word, k = np.unique(x[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(k)], names=["word", "n"])
+
+        # A row for each distinct word of this pass at most.
+        counts = {r["word"]: r["n"] for r in map_batches(texts.select("text"), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+        chosen.choose(counts)
         items_of = spark.sparkContext.broadcast(chosen)
 
         def search(batch: pa.RecordBatch, items_of=items_of):
@@ -198,7 +215,7 @@ def matches(docs: DataFrame, items: DataFrame, n: int = GRAM, least: float = LEA
             texts = batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts]):
                 got = []
-                for t, k, s in _places(Words([normalised(x) for x in texts[a:b]], n), it, known):
+                for t, k, s in _places(Words([normalised(x) for x in texts[a:b]]), it, known):
                     share = s / (MATCH * len(it.word[k]))
                     if share >= least:
                         got.append((a + t, it.ids[k], share))

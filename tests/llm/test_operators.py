@@ -158,6 +158,32 @@ def test_decontamination(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == [2, 3, 4]
 
 
+def test_decontamination_finds_what_every_alignment_finds(spark):
+    r = random.Random(11)
+    word = lambda n: r.choice(WORDS) + str(r.randrange(n))
+    items = [" ".join(word(30) for _ in range(size)) for size in (3, 7, 25, 25, 38, 38, 55)]
+    texts = []
+    for t in items:
+        for every in (2, 3, 4, 5, 6):
+            for put in ([f"new{every}"], [], ["put", "in"]):  # replaced, left out, replaced by two
+                copy = [x for k, w in enumerate(t.split(), 1) for x in (put if k % every == 0 else [w])]
+                texts.append(" ".join([word(30) for _ in range(40)] + copy + [word(30) for _ in range(r.randrange(150))]))
+        texts.append(" ".join(w if r.random() < 0.75 else word(30) for w in t.split()))
+        texts.append(" put ".join(t.split()))
+    number = {w: i for i, w in enumerate(sorted({w for t in [*items, *texts] for w in t.split()}))}
+    as_numbers = lambda t: np.array([number[w] for w in t.split()])
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            share = decontaminate.align(as_numbers(item), as_numbers(t)) / (2 * len(item.split()))
+            if share >= 0.5:
+                want[i, k] = share
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(g["doc_id"], g["item_id"]): g["score"] for g in decontaminate.matches(docs_of(spark, texts), bench).collect()}
+    assert got == want
+    assert {(17 * k + 3 * j + 0, k) for k in range(2, 7) for j in range(1, 5)} <= set(got)
+
+
 def test_alignment():
     x = np.array([1, 2, 3, 4, 5])
     assert decontaminate.align(x, np.array([9, 1, 2, 3, 4, 5, 9])) == 10
