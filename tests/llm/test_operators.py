@@ -212,6 +212,30 @@ def test_licenses(spark):
     assert [None if r["license"] is None else (r["license"], r["dice"], r["first_line"], r["n_lines"]) for r in got] == [brute(t) for t in texts]
 
 
+def test_licenses_inside_lines_and_by_version(spark):
+    gpl = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    bsd = licenses._BSD + licenses._BSD_1_2
+    cases = {
+        "x\nLicensed under CC BY-NC 4.0.": ["cc-by-nc-4.0"],
+        "Licensed under CC BY 4.0. y": ["cc-by-4.0"],
+        "Copyright 2024 Foo Inc. All rights reserved.": ["reserved"],
+        "some words " + licenses._MIT + " more words": ["mit"],
+        "a b " + bsd + licenses._BSD_END: ["bsd-2-clause"],
+        "Copyright X. All rights reserved. " + bsd + licenses._BSD_3 + licenses._BSD_END: ["reserved", "bsd-3-clause"],
+        "This program is free software; " + gpl.format("", 2): ["gpl-2.0"],
+        "This program is free software: " + gpl.format("", 3): ["gpl-3.0"],
+        "This program is free software: " + gpl.format("Affero ", 3): ["agpl-3.0"],
+        "This library is free software; " + gpl.format("Lesser ", "2.1"): ["lgpl-2.1"],
+        "This work is licensed under the GNU General Public License.": ["gpl"],
+        "Released under the MIT License. Then text. Licensed under the Apache License, Version 2.0.": ["mit", "apache-2.0"],
+        "Released under the MIT licence, as some spell it": ["mit"],
+        "the license of this work": [],
+    }
+    got = licenses.scan(docs_of(spark, list(cases))).orderBy("doc_id").collect()
+    assert [[x["license"] for x in r["licenses"] or []] for r in got] == list(cases.values())
+    assert got[5]["license"] == "bsd-3-clause"
+
+
 PAGE = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Menu</a></nav><div class="ad">Buy <b>now</b></div><article><header><h1>Head &amp; s</h1></header><div><p>One<br>two <i>th</i>ree<p>four\n five</div><div class="comments"><p>first!</div><p>six</article><footer>&copy; f</footer>'
 
 
