@@ -246,6 +246,29 @@ def test_page_text(spark, page, text):
     assert (got["text"], got["n_chars"]) == (text, len(text))
 
 
+LONG_TEXT = "an article of some length"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html class='social'><body class='home right-sidebar'><article>a b</article><div class='sidebar'>no</div></body></html>", "a b"),
+        ("<body id='widget'><p>open</p></body>", "open"),
+        ("<article class='post comments-open'>a</article>", "a"),
+        ("<main id='related'>a<div class='related'>no</div></main>", "a"),
+        ("<div class='has sidebar'><main>a</main>no</div>", "a"),
+        ("<div class='has-sidebar'><div role='main'>a</div></div>", "a"),
+        (f"<main><h1>Top</h1><div class='right-sidebar'><article>{LONG_TEXT}<div class='comments'><article>no</article></div></article></div></main>", "Top " + LONG_TEXT),
+        (f"<article>{LONG_TEXT}</article><div class='comments'><article>first!</article><article>second</article></div>", LONG_TEXT),
+        (f"<div>{LONG_TEXT}</div><div class='related'><article>teaser</article></div>", LONG_TEXT),
+        ("<aside><article>no</article></aside>", ""),
+    ],
+)
+def test_class_words_dont_hide_articles(spark, page, text):
+    df = spark.createDataFrame([(1, "http://h/x", page)], "page_id long, url string, html string")
+    assert html_text.main_text(df).first()["text"] == text
+
+
 def test_host_boilerplate(spark):
     menu = "home news sport weather travel food music film"
     rows = [(i, f"http://h{i // 3}.com/{i}", f"<body><div>{menu}</div><div>body text number {i} is only here {'w%d ' % i * 5}</div></body>") for i in range(6)]
