@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a task.
 SLICE_BYTES = 2 << 20
@@ -34,10 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where the session names none, a temporary folder in local mode, and else one in the warehouse,
+    which executors share as well.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-stowage-")
+        if spark.sparkContext.master.startswith("local"):
+            found = "file://" + tempfile.mkdtemp(prefix="spark-stowage-")
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stowage_cuts"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -60,7 +68,7 @@ def forget(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow, one generator call for each batch; batches without rows are skipped.
 
     Sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` to BATCH_BYTES.
