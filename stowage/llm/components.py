@@ -1,4 +1,4 @@
-"""Connected components of a table of links, as iterated joins."""
+"""Connected components of a table of links, by contraction."""
 
 from __future__ import annotations
 
@@ -11,23 +11,42 @@ from .common import cut, forget
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``links``; component is the smallest node that links reach.
 
-    Each round takes the smallest label among neighbours and then the label's own label, so
-    that a chain of n links needs about log n rounds. Labels of each round are cut, and a node
-    with very many links is pre-aggregated before the shuffle.
+    In each round a node moves to the smallest of itself and its neighbours, and the links move
+    with their ends; those that become loops or repeat go. Every node beside a smaller one moves,
+    so that a chain of n links needs about log n rounds and a star one, and what is left of the
+    links shrinks from round to round. A node with very many links is pre-aggregated before the
+    shuffle. Links with a null end and loops are dropped; an empty table gives an empty table.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = cut(edges.union(edges.select("v", "u")).distinct())
-    labels = cut(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
-    before = labels
-    while True:
-        near = edges.join(labels, edges.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        own = labels.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
-        lower = cut(lower.join(own, "component").select("node", F.least("component", "beyond").alias("component"), "was"))
-        forget(before)
-        before = lower
-        changed = lower.where("component <> was").limit(1).count()
-        labels = lower.select("node", "component")
-        if not changed:
-            forget(edges)
-            return labels
+    edges = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    labels = None
+    while edges.limit(1).count():
+        both = edges.union(edges.select("v", "u"))
+        moves = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("to")))
+        first, second = (moves.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "uv")
+        moved = edges.join(first, "u").select("v", "to_u").join(second, "v").where("to_u <> to_v")
+        nearer = cut(moved.select(F.least("to_u", "to_v").alias("u"), F.greatest("to_u", "to_v").alias("v")).distinct())
+        if labels is None:
+            labels, old = moves.select("node", F.col("to").alias("component")), [edges]
+            labels.cut_path = moves.cut_path
+        else:
+            step = moves.select(F.col("node").alias("component"), "to")
+            found = cut(labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            labels, old = found, [edges, moves, labels]
+        edges = nearer
+        forget(*old)
+    if labels is None:
+        labels = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        labels.cut_path = edges.cut_path
+    else:
+        forget(edges)
+    return labels
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (gid, comp), cut anew, with the components that links (a, b) between gids join made one, under the smallest."""
+    a, b = (comp.select(F.col("gid").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
+    ends = links.join(a, "a").select("b", "comp_a").join(b, "b").where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    of = components(ends)
+    found = cut(comp.join(of, comp["comp"] == of["node"], "left").select("gid", F.coalesce("component", "comp").alias("comp")))
+    forget(comp, of)
+    return found

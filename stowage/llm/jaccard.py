@@ -8,14 +8,16 @@ large for a common passage.
 
 1. ``signatures``: size, 128-bit key, first shingles and a sketch of each document's set.
 2. Classes that also have the same prefix and size form a group, which joins as one.
-3. Groups that share a prefix shingle are candidates. First each bucket's smallest group is
-   paired with the others (linear in the rows); verified links are joined into components, and
-   ROUNDS more rounds pair the rows of a bucket with centres outside their component; then all
-   pairs of a bucket that are still in different components follow. Pairs inside a
-   component can't change the result and are never made.
+3. A group's first member is compared with its other members. Groups that share a prefix shingle
+   are candidates by their first members: each proposes at most PROPOSE of the groups that have its
+   tokens foremost, those that it meets most often. Verified links are joined into components.
+4. The groups expand: ROUNDS rounds let each member propose as many centres of its buckets that
+   are outside its component; members whose buckets hold one component only are done. What is
+   still apart in a bucket then meets in pairs. Pairs inside a component can't change the result
+   and are never made, nor members of one group times members of another.
    A pair must also have room for its overlap from the token on by which it meets.
-4. Candidates expand to their classes; a sketch bounds the overlap from above and drops most;
-   the rest are verified on whole sets.
+5. A sketch bounds the overlap of a candidate pair from above and drops most; the rest are verified
+   on whole sets.
 
 Cases: null and empty texts, and texts of white space, have no shingles and link with nothing;
 texts of fewer words than n are one shingle; long texts are read whole; rows that repeat a
@@ -31,14 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, encoded, forget, gram_hashes, map_batches, mix, slices, word_hashes, words
-from .components import components
-
-#: A shingle in so many prefixes is put last in the order; doubled until the list has at most MAX_HOT.
-HOT, MAX_HOT = 32, 200_000
-#: Rounds in which the rows of a bucket meet a centre, before all pairs that are still apart; centres of similar buckets.
-ROUNDS, CENTRES = 3, 4
-#: Rows of a table that may be broadcast; a larger one is joined by shuffling.
-MAX_BROADCAST = 3_000_000
+from .components import components, merged
+
+#: A shingle in so many prefixes is put last in the order.
+HOT = 32
+#: Rounds in which the rows of a bucket meet a centre, before all pairs that are still apart; centres of similar buckets; proposals of a row in a round.
+ROUNDS, CENTRES, PROPOSE = 3, 4, 2
+#: Rows of a table of one or two numbers that may be broadcast; a larger one is joined by shuffling.
+MAX_BROADCAST = 500_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -82,8 +84,8 @@ def least_overlap(a, b, percent: int):
 
 
 def tokens(grams: np.ndarray) -> np.ndarray:
-    """32 bits of each hash that keep the order."""
-    return (grams >> np.uint64(32)).astype(np.int64) - (1 << 31)
+    """The hashes as signed numbers of the same order."""
+    return (grams ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def sketch(grams: np.ndarray) -> bytes:
@@ -119,22 +121,22 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
             p = prefix_size(per, percent)
             kept = np.minimum(per, p + p // 4 + 4)
             place = np.arange(len(grams)) - np.repeat(start, per)
-            pre = tokens(grams[place < np.repeat(kept, per)]).astype(np.int32)
+            pre = tokens(grams[place < np.repeat(kept, per)])
             at = np.concatenate(([0], np.cumsum(kept))).astype(np.int32)
             sk = [sketch(grams[i:j]) for i, j in zip(start, stop, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(per, pa.int64()), pa.array(k1), pa.array(k2), pa.array(p, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(pre)), pa.array(sk, pa.binary())], names=["id", "n", "k1", "k2", "p", "pre", "sk"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), step, "id long, n long, k1 long, k2 long, p long, pre array<int>, sk binary")
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), step, "id long, n long, k1 long, k2 long, p long, pre array<long>, sk binary")
 
 
-def _small(df: DataFrame, most: int = MAX_BROADCAST) -> bool:
-    return df.limit(most + 1).count() <= most
+def _bounded(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """df, to be broadcast if it has at most ``most`` rows; df must be cheap to read twice."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(id, grams): whole sets of the documents in ids, as 8-byte hashes in order."""
-    ids = F.broadcast(ids) if _small(ids) else ids
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(_bounded(ids), "id", "left_semi")
 
     def step(batch: pa.RecordBatch):
         texts = encoded(batch.column(1))
@@ -167,162 +169,161 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, perc
     close = pairs.join(sk.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("sk").alias("sa")), "a")
     close = close.join(sk.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("sk").alias("sb")), "b")
     close = cut(map_batches(close.select("a", "b", "na", "nb", "sa", "sb"), bound, "a long, b long").distinct())
-    sets = cut(_sets(docs, close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), n, id_col, text_col))
+    ids = cut(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())
+    sets = cut(_sets(docs, ids, n, id_col, text_col))
     both = close.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("sb")), "b")
     found = cut(map_batches(both.select("a", "b", "sa", "sb"), exact, "a long, b long").distinct())
-    forget(close, sets)
+    forget(close, ids, sets)
     return found
 
 
-def _hot_tokens(counts: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that ``hot`` prefixes or more hold, in order, and the rank of each by its count; MAX_HOT at most."""
-    while counts.where(F.col("df") >= hot).limit(MAX_HOT + 1).count() > MAX_HOT:
-        hot *= 2  # any threshold gives a valid order
-    found = counts.where(F.col("df") >= hot).select("tok", "df").toPandas().sort_values("tok")
-    toks, df = found["tok"].to_numpy(np.int64), found["df"].to_numpy(np.int64)
-    rank = np.empty(len(toks), np.int32)
-    rank[np.lexsort((toks, df))] = np.arange(len(toks), dtype=np.int32)
-    return toks, rank
+def _whole_counts(sets: DataFrame) -> DataFrame:
+    """(tok, df): how many of these whole sets hold each token."""
 
+    def count(batch: pa.RecordBatch):
+        toks, df = np.unique(tokens(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(toks), pa.array(df.astype(np.int64))], names=["tok", "df"])
 
-def _find(hot: np.ndarray, toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each token is hot, and its place in the list."""
-    if not len(hot):
-        return np.zeros(len(toks), bool), np.zeros(len(toks), np.int64)
-    at = np.minimum(np.searchsorted(hot, toks), len(hot) - 1)
-    return hot[at] == toks, at
+    return map_batches(sets.select("grams"), count, "tok long, df long").groupBy("tok").agg(F.sum("df").alias("df"))
 
 
-def _whole_counts(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(tok, df): how many of the documents in ids hold each token, over their whole sets."""
+def _hot_lists(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(gid, hot): the hot tokens among the rows (gid, tok) of each gid, with their counts."""
+    found = rows.join(_bounded(hot), "tok").groupBy("gid").agg(F.collect_list(F.struct("tok", "df")).alias("hot"))
+    return found.select("gid", F.col("hot.tok").alias("hot_tok"), F.col("hot.df").alias("hot_df"))
 
-    def count(batch: pa.RecordBatch):
-        toks, df = np.unique(tokens(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(toks.astype(np.int32)), pa.array(df.astype(np.int64))], names=["tok", "df"])
 
-    return map_batches(_sets(docs, ids, n, id_col, text_col), count, "tok int, df long").groupBy("tok").agg(F.sum("df").alias("df"))
+def _by_order(whole: np.ndarray, hot_tok: np.ndarray, hot_df: np.ndarray) -> np.ndarray:
+    """Tokens of a set in the global order: others by themselves, then hot ones by their counts."""
+    last = hot_tok[np.lexsort((hot_tok, hot_df))]
+    return np.concatenate((whole[~np.isin(whole, hot_tok)], last))
 
 
 def prefixes(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
     """(gid, n, pk, toks): the prefix of each class under the order with hot tokens last, rarer ones first, as places and tokens, without tokens that no two prefixes share."""
-    spark = docs.sparkSession
-    counts = cut(classes.select(F.explode("pre").alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"))
+    pre_rows = classes.select("gid", F.explode("pre").alias("tok"))
+    counts = cut(pre_rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"))
 
-    def chosen_by(hot_toks: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast(hot_toks)  # MAX_HOT numbers at most
+    def chosen_by(hot_rows: DataFrame) -> DataFrame:
+        """The first p cold tokens of each class, or none and short = true where the kept ones don't reach."""
 
         def choose(batch: pa.RecordBatch):
-            """The first p cold tokens, or none and short = true where the kept ones don't reach."""
-            pre, p, size = batch.column(3), batch.column(2).to_numpy(), batch.column(1).to_numpy()
-            flat, at = pre.flatten().to_numpy().astype(np.int64), pre.offsets.to_numpy() - pre.offsets[0].as_py()
-            per = np.diff(at)
-            is_hot = _find(shared.value, flat)[0]
-            row = np.repeat(np.arange(len(per)), per)
-            cold = np.cumsum(~is_hot)
-            before = np.concatenate(([0], cold))[at[:-1]]
-            keep = ~is_hot & (cold - before[row] <= p[row])
-            got = np.bincount(row[keep], minlength=len(per))
-            some_hot = np.bincount(row[is_hot], minlength=len(per)) > 0
-            short = some_hot & (got < p)
-            keep &= ~short[row]
-            n_kept = np.bincount(row[keep], minlength=len(per))
-            out = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_kept))).astype(np.int32)), pa.array(flat[keep].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(p), out, pa.array(short)], names=["gid", "n", "p", "toks", "short"])
-
-        return map_batches(classes.select("gid", "n", "p", "pre"), choose, "gid long, n long, p long, toks array<int>, short boolean")
-
-    hot_toks, rank = _hot_tokens(counts, hot)
-    if len(hot_toks):
+            toks, short = [], []
+            for p, pre, h in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                x = pre.values.to_numpy()
+                if h.is_valid:
+                    x = x[~np.isin(x, h.values.to_numpy())]
+                short.append(h.is_valid and len(x) < p)
+                toks.append(x[: 0 if short[-1] else p])
+            at = np.concatenate(([0], np.cumsum([len(x) for x in toks]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(toks))), pa.array(short)], names=["gid", "n", "toks", "short"])
+
+        lists = _hot_lists(pre_rows, hot_rows).drop("hot_df")
+        return map_batches(classes.select("gid", "n", "p", "pre").join(lists, "gid", "left").select("gid", "n", "p", "pre", "hot_tok"), choose, "gid long, n long, toks array<long>, short boolean")
+
+    hot_rows = cut(counts.where(F.col("df") >= hot))
+    chosen = cut(chosen_by(hot_rows))
+    found = counts.select("tok")
+    if chosen.where("short").limit(1).count():
         # Past the tokens counted so far, a short document's next ones can be as frequent: count them whole.
-        short = cut(chosen_by(hot_toks).where("short").select(F.col("gid").alias("id")))
-        whole = cut(_whole_counts(docs, short, n, id_col, text_col).where(F.col("df") >= hot))
-        hot_toks, rank = _hot_tokens(counts.union(whole).groupBy("tok").agg(F.max("df").alias("df")), hot)
-        forget(short, whole)
-        chosen = cut(chosen_by(hot_toks))
-        sets = _sets(docs, chosen.where("short").select(F.col("gid").alias("id")), n, id_col, text_col)
-        shared = spark.sparkContext.broadcast((hot_toks, rank))  # twice MAX_HOT numbers at most
+        sets = cut(_sets(docs, chosen.where("short").select(F.col("gid").alias("id")), n, id_col, text_col))
+        again = cut(hot_rows.union(_whole_counts(sets).where(F.col("df") >= hot)).groupBy("tok").agg(F.max("df").alias("df")))
+        forget(hot_rows, chosen, sets)
+        hot_rows, chosen = again, cut(chosen_by(again))
+        sets = cut(_sets(docs, chosen.where("short").select(F.col("gid").alias("id")), n, id_col, text_col).withColumnRenamed("id", "gid"))
+
+        def spread(batch: pa.RecordBatch):
+            each = [len(g) // 8 for g in batch.column(1).to_pylist()]
+            toks = tokens(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), each)), pa.array(toks)], names=["gid", "tok"])
 
         def extend(batch: pa.RecordBatch):
-            h, ranks = shared.value
-            toks, size, most = [], [], []
-            for g in batch.column(1).to_pylist():
+            toks, size = [], []
+            for g, h, df in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 t = tokens(np.frombuffer(g, np.uint64))
-                is_hot, at = _find(h, t)
-                p = int(prefix_size(np.array(len(t)), percent))
-                last = t[is_hot][np.argsort(ranks[at[is_hot]], kind="stable")]
-                toks.append(np.concatenate((t[~is_hot], last))[:p].astype(np.int32))
+                if h.is_valid:
+                    t = _by_order(t, h.values.to_numpy(), df.values.to_numpy())
+                toks.append(t[: int(prefix_size(np.array(len(t)), percent))])
                 size.append(len(t))
-                most.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(most, pa.int64()), pa.array(toks, pa.list_(pa.int32()))], names=["gid", "n", "p", "toks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(toks, pa.list_(pa.int64()))], names=["gid", "n", "toks"])
 
-        longer = cut(map_batches(sets, extend, "gid long, n long, p long, toks array<int>"))
+        lists = _hot_lists(map_batches(sets, spread, "gid long, tok long"), hot_rows)
+        longer = cut(map_batches(sets.join(lists, "gid", "left").select("gid", "grams", "hot_tok", "hot_df"), extend, "gid long, n long, toks array<long>"))
         # Tokens that only longer prefixes reach have not been counted above.
-        counts = cut(counts.select("tok").union(longer.select(F.explode("toks").alias("tok"))).distinct())
-        chosen = chosen.where("not short").drop("short").unionByName(longer)
+        found = cut(found.union(longer.select(F.explode("toks").alias("tok"))).distinct())
+        whole = chosen.where("not short").drop("short").unionByName(longer)
+        used = [sets, longer, found, chosen]
     else:
-        chosen, counts = chosen_by(hot_toks).drop("short"), counts.select("tok")
+        whole, used = chosen.drop("short"), [chosen]
     # Two columns at most go through the shuffle of all prefix tokens; a token in one prefix only joins nothing.
-    chosen = cut(chosen)
-    rows = chosen.select("gid", F.posexplode("toks").alias("at", "tok")).join(counts, "tok", "left_semi")
+    rows = whole.select("gid", F.posexplode("toks").alias("at", "tok")).join(found, "tok", "left_semi")
     shared_toks = rows.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("at", "tok"))).alias("toks"))
-    return cut(chosen.select("gid", "n", F.xxhash64("toks").alias("pk")).join(shared_toks, "gid"))
+    out = cut(whole.select("gid", "n", F.xxhash64("toks").alias("pk")).join(shared_toks, "gid"))
+    forget(counts, hot_rows, *used)
+    return out
 
 
-def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
-    """Links (a, b) between classes that connect every two classes which links of the threshold connect."""
+def linked(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
+    """(gid, comp) of the classes with a prefix token that others share, as a cut frame; comp is the smallest gid that links of the threshold reach."""
     pre = prefixes(docs, classes, n, percent, id_col, text_col, hot)
     groups = pre.groupBy("n", "pk").agg(F.min(F.struct("gid", "toks")).alias("g")).select("n", "pk", F.col("g.gid").alias("grp"), F.col("g.toks").alias("toks"))
     members = cut(pre.join(groups.select("n", "pk", "grp"), ["n", "pk"]).select("grp", "gid", "n"))
     # A group's own token joins its members; a prefix token joins groups.
     rows = cut(groups.select("grp", "n", F.explode("toks").alias("t")).select("grp", "n", "t.tok", "t.at"))
+    forget(pre)
 
     def fits(n1: str, at1: str, n2: str, at2: str) -> Column:
         """Sizes within the threshold; and from this token on, as if it were the first in common, enough shingles in both."""
         sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
         return sizes & (F.least(F.col(n1) - F.col(at1), F.col(n2) - F.col(at2)) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent)
 
-    def expanded(pairs: DataFrame) -> DataFrame:
-        """Pairs of groups as pairs of members."""
-        x, y = members.select(F.col("grp").alias("g1"), F.col("gid").alias("a")), members.select(F.col("grp").alias("g2"), F.col("gid").alias("b"))
-        return pairs.join(x, "g1").join(y, "g2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def proposals(met: DataFrame) -> DataFrame:
+        """Of the pairs (gid, other) at most PROPOSE for each gid: those that meet in most buckets. At most one pair for each prefix token of a gid."""
+        most = met.groupBy("gid", "other").agg(F.count("*").alias("k")).groupBy("gid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "other"))), 1, PROPOSE).alias("best"))
+        pairs = most.select("gid", F.explode("best.other").alias("other"))
+        return pairs.select(F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b")).distinct()
 
-    least = rows.groupBy("tok").agg(F.min(F.struct("n", "grp", "at")).alias("m"), F.count("*").alias("size")).where("size > 1")
-    star = rows.join(least, "tok").where((F.col("m.grp") != F.col("grp")) & fits("m.n", "m.at", "n", "at")).select(F.col("m.grp").alias("g1"), F.col("grp").alias("g2")).distinct()
+    # What stands first has fewest tokens of its own: of edited copies it is the one most like all others.
+    least = rows.groupBy("tok").agg(F.min(F.struct("at", "n", "grp")).alias("m"), F.count("*").alias("size")).where("size > 1")
+    star = rows.join(least, "tok").where((F.col("m.grp") != F.col("grp")) & fits("m.n", "m.at", "n", "at")).select(F.col("grp").alias("gid"), F.col("m.grp").alias("other"))
     inner = members.where("grp <> gid").select(F.col("grp").alias("a"), F.col("gid").alias("b"))
-    found = verified(docs, expanded(star).union(inner).distinct(), classes, n, percent, id_col, text_col)
-
-    def apart_in_buckets(before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Members with their components, and the rows of the buckets that hold several components; only buckets that did so before can."""
-        of = components(found)
-        comp = members.join(of, members.gid == of.node, "left").select("grp", "gid", "n", F.coalesce("component", "gid").alias("comp"))
-        at = rows.drop("n").join(comp, "grp") if before is None else before.drop("comp").join(comp.select("gid", "comp"), "gid")
-        at = at.select("tok", "at", "gid", "n", "comp")
+    found = verified(docs, proposals(star).union(inner).distinct(), classes, n, percent, id_col, text_col)
+    comp = merged(cut(members.select("gid", F.col("gid").alias("comp"))), found)
+    forget(found)
+
+    def apart_in_buckets(before: DataFrame | None) -> DataFrame:
+        """Rows of members with their components, of the buckets that hold several components; only buckets that did so before can."""
+        if before is None:
+            at = rows.drop("n").join(members, "grp").join(comp, "gid").select("tok", "at", "gid", "n", "comp")
+        else:
+            at = before.drop("comp").join(comp, "gid").select("tok", "at", "gid", "n", "comp")
         mixed = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-        found_at = cut(at.join(mixed, "tok", "left_semi"))
+        out = cut(at.join(mixed, "tok", "left_semi"))
         if before is not None:
             forget(before)
-        return comp, found_at
+        return out
 
     # What is in a component already needs no pair. Further rounds pair the rows of a bucket with other centres of it.
-    at = None
+    at = apart_in_buckets(None)
     for k in range(ROUNDS):
-        comp, at = apart_in_buckets(at)
-        order = F.xxhash64("gid", F.pmod("tok", F.lit(CENTRES)), F.lit(k))
+        order = F.struct(F.floor(F.col("at") / 4), F.xxhash64("gid", F.pmod("tok", F.lit(CENTRES)), F.lit(k)))
         centre = at.groupBy("tok").agg(F.min(F.struct(order.alias("o"), "gid", "n", "comp", "at")).alias("m"))
         near = at.join(centre, "tok").where((F.col("comp") != F.col("m.comp")) & fits("n", "at", "m.n", "m.at"))
-        near = cut(near.select(F.least("gid", "m.gid").alias("a"), F.greatest("gid", "m.gid").alias("b")).distinct())
+        near = cut(proposals(near.select("gid", F.col("m.gid").alias("other"))))
         if not near.limit(1).count():
+            forget(near)
             break
-        found = cut(found.union(verified(docs, near, classes, n, percent, id_col, text_col)))
-    comp, at = apart_in_buckets(at)
+        found = verified(docs, near, classes, n, percent, id_col, text_col)
+        comp = merged(comp, found)
+        forget(near, found)
+        at = apart_in_buckets(at)
     one, two = (at.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("gid", "n", "comp", "at"))) for k in (1, 2))
     rest = one.join(two, "tok").where((F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("gid1") < F.col("gid2")))) & fits("n1", "at1", "n2", "at2"))
     rest = rest.select(F.least("gid1", "gid2").alias("a"), F.greatest("gid1", "gid2").alias("b")).distinct()
-    split = comp.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
-    apart = comp.join(split, "grp", "left_semi")
-    x, y = (apart.select("grp", F.col("gid").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
-    rest = rest.union(x.join(y, "grp").where("a < b and ca <> cb").select("a", "b")).distinct()
-    return found.union(verified(docs, rest, classes, n, percent, id_col, text_col))
+    found = verified(docs, rest, classes, n, percent, id_col, text_col)
+    comp = merged(comp, found)
+    forget(found, at, members, rows)
+    return comp
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -331,11 +332,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     sets = every.where("n > 0 and id is not null")
     key = ["n", "k1", "k2"]
     classes = cut(sets.groupBy(*key).agg(F.min(F.struct("id", "p", "pre", "sk")).alias("m")).select(*key, F.col("m.id").alias("gid"), "m.p", "m.pre", "m.sk"))
-    found = links(docs, classes, n, percent, id_col, text_col, hot)
+    found = linked(docs, classes, n, percent, id_col, text_col, hot)
+    of_class = cut(classes.select(*key, "gid").join(found, "gid", "left").select(*key, "gid", F.coalesce("comp", "gid").alias("comp")))
+    forget(classes, found)
     # A doc_id that stands in several classes joins them.
-    ids = sets.select("id", *key).join(classes.select(*key, "gid"), key).select("id", "gid")
-    again = ids.groupBy("id").agg(F.min("gid").alias("a"), F.max("gid").alias("b")).where("a <> b")
-    several = ids.join(again.select("id", "a"), "id").where("gid <> a").select("a", F.col("gid").alias("b"))
-    of = components(found.union(several))
-    comp = classes.select(*key, "gid").join(of, F.col("gid") == F.col("node"), "left").select(*key, F.coalesce("component", "gid").alias("comp"))
+    ids = sets.select("id", *key).join(of_class, key).select("id", "comp")
+    again = ids.groupBy("id").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
+    several = cut(ids.join(again.select("id", "a"), "id").where("comp <> a").select("a", F.col("comp").alias("b")).distinct())
+    of = components(several)
+    comp = of_class.join(of, of_class["comp"] == of["node"], "left").select(*key, F.coalesce("component", "comp").alias("comp"))
     return every.select("id", *key).join(comp, key, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
