@@ -3,13 +3,17 @@
 Features of a text: densities of a lexicon of insulting words (fixed seeds, and words that the
 labels show to be typical of toxic texts), their nearness to second-person words, rates of
 capitals, exclamation marks and other punctuation, and of obfuscated spellings. Trees are
-fitted by Spark ML on one part of a bounded sample of labelled rows, the calibration on another.
+fitted by Spark ML on one part of a bounded sample of labelled rows, as is the lexicon; the
+isotonic calibration is fitted on the other part, which neither has seen. A score is the calibrated
+one, but for a share of SLOPE that follows the trees' margin, so that texts on one step of the
+calibration keep their order.
 
 Cases: null and empty texts have all features 0 and get the score of that point; long texts are
 read whole; equal texts get equal scores; rows without a label (or with a null id) are scored
 but not learnt from; without both classes in the sample every score is the share of toxic labels
-(0 without labels); an empty table gives an empty table; further columns of the input are
-ignored, so their names can't clash.
+(0 without labels); an empty table gives an empty table; further columns of the input are kept
+apart in a struct, so that names like ``features`` or ``prediction`` don't clash; of kept columns
+``score`` and ``predicted`` are replaced, and ``clean`` returns the input's own.
 """
 
 from __future__ import annotations
@@ -24,12 +28,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import cut, map_batches, slices
+from .common import cut, forget, map_batches, slices
 
 #: Labelled rows that are learnt from, at most; words of the learnt lexicon, at most.
 SAMPLE_ROWS, MAX_WORDS = 12_000, 400
 TREES, DEPTH = 20, 3
+#: Share of a score that follows the margin.
+SLOPE = 0.01
 #: Insults and second-person words of the four languages.
 SEEDS = "idiot moron clown loser stupid pathetic worthless disgusting trash garbage dumb fool scum ugly idiota estúpido imbécil inútil basura asqueroso crétin débile stupide nul abruti ordure minable dumm trottel depp versager abschaum ekelhaft erbärmlich wertlos".split()
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner deinen ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
@@ -99,17 +106,17 @@ class Model:
 
 
 def with_features(docs: DataFrame, lexicon: list[str], text_col: str, keep: list[str]) -> DataFrame:
-    """The kept columns and an array of features. The lexicon has MAX_WORDS words and the seeds at most."""
+    """The kept columns as one struct, and an array of features. The lexicon has MAX_WORDS words and the seeds at most."""
 
     def step(batch: pa.RecordBatch):
         words, seeds = frozenset(lexicon), frozenset(SEEDS)
-        texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        texts = [t or "" for t in batch.column(1).to_pylist()]
         for a, b in slices([len(t) for t in texts]):
             rows = [features(t, c, words, seeds) for t, c in zip(texts[a:b], characters(texts[a:b]).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.list_(pa.float64()))], names=["_keep", "features"])
 
-    kept = docs.select(*keep)
-    return map_batches(docs.select(*keep, F.col(text_col).cast("string").alias("_text")), step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", features array<double>")
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_keep"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return map_batches(found, step, StructType([found.schema["_keep"], StructField("features", ArrayType(DoubleType()))]))
 
 
 def learn_lexicon(sample: DataFrame, text_col: str = "text", label_col: str = "toxic") -> list[str]:
@@ -133,24 +140,42 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         rows = rows.where(learn)
     rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     # sample_rows rows of an id and a label at most
-    sample = cut(docs.where(F.col(text_col).isNotNull()).join(F.broadcast(rows), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("_text"), F.col("_toxic").cast("double").alias("label")))
-    lexicon = learn_lexicon(sample, "_text", "label")
-    points = cut(with_features(sample, lexicon, "_text", ["_id", "label"]).select("label", array_to_vector("features").alias("features"), (F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(4)) == 0).alias("calibrate")).coalesce(4))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
+    sample = cut(texts.join(F.broadcast(rows), "_id").select("_id", "_text", F.col("_toxic").cast("double").alias("label")))
+    calibrate = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(4)) == 0
+    lexicon = learn_lexicon(sample.where(~calibrate), "_text", "label")
+    points = cut(with_features(sample, lexicon, "_text", ["_id", "label"]).select("_keep.*", "features").select("label", array_to_vector("features").alias("features"), calibrate.alias("calibrate")).coalesce(4))
+    forget(sample)
     total = points.agg(F.avg("label").alias("share"), *(F.avg(F.when(F.col("calibrate") == k, F.col("label"))).alias(f"s{k}") for k in (True, False))).first()
     if not all(s is not None and 0 < s < 1 for s in (total["sTrue"], total["sFalse"])):
+        forget(points)
         return Model(lexicon, None, None, float(total["share"] or 0.0))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=32, seed=1, checkpointInterval=-1).fit(points.where("not calibrate"))
     margin = vector_to_array("rawPrediction")[1]
     curve = IsotonicRegression(featuresCol="margin", labelCol="label").fit(trees.transform(points.where("calibrate")).select("label", margin.alias("margin")))
+    forget(points)
     return Model(lexicon, trees, curve, float(total["share"]))
 
 
+def _scored(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+    """The kept columns as one struct, and the score."""
+    if model.trees is None:
+        return docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_keep"), F.lit(model.share).alias("score"))
+    points = with_features(docs, model.lexicon, text_col, keep).withColumn("features", array_to_vector("features"))
+    margins = model.trees.transform(points).select("_keep", vector_to_array("rawPrediction")[1].alias("margin"))
+    level = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
+    # Twice the margin is the log odds.
+    return model.curve.transform(margins).select("_keep", ((1 - SLOPE) * level + SLOPE / (1 + F.exp(-2 * F.col("margin")))).alias("score"))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (the id, by default), score and predicted of each text."""
-    keep = keep or [id_col]
+    own = [c for c in keep or [id_col] if c not in ("score", "predicted")]
+    return _scored(docs, model, text_col, own).select("_keep.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs without the texts that the model calls toxic; a model that didn't see both classes rejects nothing."""
     if model.trees is None:
-        return docs.select(*keep).withColumn("score", F.lit(model.share)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    points = with_features(docs, model.lexicon, text_col, keep).withColumn("features", array_to_vector("features"))
-    margins = model.trees.transform(points).select(*keep, vector_to_array("rawPrediction")[1].alias("margin"))
-    scored = model.curve.transform(margins).select(*keep, F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        return docs
+    return _scored(docs, model, text_col, docs.columns).where("score < 0.5").select("_keep.*")
