@@ -4,7 +4,8 @@ Texts and licence templates are normalised to lower-case words of letters and di
 of a text, wherever they begin and end, are compared with a template by the Dice coefficient of their
 sets of word bigrams, 2 * common / (own + template's). Sizes bound it: with m bigrams in the template
 and a threshold d, only runs with d * m / (2 - d) to (2 - d) * m / d bigrams can reach it, and a text
-must hold d * m / (2 - d) of the template's bigrams at all; the best run begins and ends with one.
+must hold d * m / (2 - d) of the template's bigrams at all; the best run begins and ends with one,
+and doesn't hold its first one again, so that a text that repeats a template is scanned in linear time.
 
 Versions and kinds that differ in few words are told apart by these words: a run is only of a
 template if it names the same version and has the same TRAITS. Runs that overlap are of one licence,
@@ -148,6 +149,8 @@ class Templates:
         for a, start in enumerate(places):
             seen, common, done, good = set(), 0, start, []
             for k in range(a, len(places)):
+                if k > a and pairs[places[k]] == pairs[start]:
+                    break  # what begins there has the same bigrams of the template and no more of others
                 common += pairs[places[k]] not in seen
                 seen.update(pairs[done : places[k] + 1])
                 if len(seen) > high:
