@@ -11,7 +11,7 @@ UNITS = ["KB", "MB", "GB", "TB", "EB", "PB"]
 SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "n": 2592000}
 BYTES = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
 #: Kinds of entries by their code.
-KINDS = {"f": "file", "y": "encrypted file", "d": "directory", "l": "symbolic link", "L": "hard link", "s": "special file", "m": "metadata", "n": "encrypted metadata", "v": "volume data", "V": "encrypted volume data", "t": "volume footer", "k": "system file", "w": "warning", "p": "message"}
+KINDS = {"f": "file", "y": "encrypted file", "d": "directory", "l": "symbolic link", "L": "hard link", "s": "special file", "m": "metadata", "n": "encrypted metadata", "v": "volume data", "V": "encrypted volume data", "u": "volume footer", "U": "encrypted volume footer", "k": "system file", "w": "warning", "p": "message"}
 
 
 def human_bytes(n: Column) -> Column:

@@ -17,7 +17,7 @@ def path_key(path: Column) -> Column:
 
 def kind_class(kind: Column) -> Column:
     """0 volume header, 1 data, 2 metadata, 3 volume footer; with the path the key of an entry."""
-    return F.when(kind.isin("v", "V"), 0).when(kind.isin("m", "n"), 2).when(kind.isin("t", "x"), 3).otherwise(1)
+    return F.when(kind.isin("v", "V"), 0).when(kind.isin("m", "n"), 2).when(kind.isin("u", "U"), 3).otherwise(1)
 
 
 def subdir_depth(folder: Column, path: Column) -> Column:
@@ -88,5 +88,10 @@ def swap_prefix(path: Column, old: str, new: str) -> Column:
     return F.when(path.startswith(old), F.concat(F.lit(new.rstrip("/") + "/"), rest)).otherwise(path)
 
 
+def url_path(url: Column) -> Column:
+    """Host and path of an address: without scheme, query and fragment."""
+    return F.regexp_replace(url, r"^[a-z]+://|[?#].*$", "")
+
+
 def too_long(path: Column, total: int = 4096, component: int = 255) -> Column:
     return (F.octet_length(path) > total) | F.exists(F.split(path, "/"), lambda p: F.octet_length(p) > component)

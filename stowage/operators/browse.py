@@ -10,7 +10,7 @@ from stowage.functions.paths import path_key
 #: Flags of a backup in the order of its JSON, and fields of counters.
 FLAGS = ["hardlinked", "deletable", "working", "finishing", "current", "manifest"]
 FIELDS = ["new", "changed", "same", "deleted"]
-HIDDEN = ["m", "n", "v", "V", "t"]
+HIDDEN = ["m", "n", "v", "V", "u", "U"]
 
 
 def children(entries: DataFrame, folder: str) -> DataFrame:

@@ -6,7 +6,9 @@ no plan orders the whole table in one task.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,17 +81,30 @@ def survivors(bnos: list[int], linked: list[bool], keep: list[int]) -> list[int]
 
 
 def retain(backups: DataFrame, keep: list[int]) -> DataFrame:
-    """Backups that retention keeps. One keep is a filter; several need a client's list at once, which is short."""
+    """Backups that retention keeps. One keep is a filter; several need a client's list at once, which is short: each pass deletes by what the last one left.
+
+    Lists of many clients go to Python together, and their kept rows come back without a join.
+    """
     if len(keep) == 1:
         trbno = F.max("bno").over(Window.partitionBy("client")) - F.col("bno") + 1
         return backups.withColumn("_t", trbno).where(F.col("_t") <= keep[0]).drop("_t")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"client": pdf["client"].iloc[0], "bno": survivors(pdf["bno"].tolist(), pdf["hardlinked"].tolist(), keep)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            rows = lists.flatten()
+            bnos, linked = rows.field("bno").to_pylist(), rows.field("hardlinked").to_pylist()
+            at = [x - lists.offsets[0].as_py() for x in lists.offsets.to_pylist()]
+            taken = []
+            for i, j in zip(at, at[1:], strict=False):
+                alive = set(survivors(bnos[i:j], linked[i:j], keep))
+                taken += [k for k in range(i, j) if bnos[k] in alive]
+            found = rows.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([found.field(f) for f in names], names=names)
 
-    kind = backups.schema["client"].dataType.simpleString()
-    kept = backups.select("client", "bno", "hardlinked").groupBy("client").applyInPandas(one, f"client {kind}, bno long")
-    return backups.join(kept, ["client", "bno"], "left_semi")
+    names = backups.columns
+    lists = backups.groupBy("client").agg(F.collect_list(F.struct(*names)).alias("rows")).select("rows")
+    return lists.mapInArrow(run, backups.schema)
 
 
 def in_timeband(moment: Column, bands: list[str]) -> Column:
@@ -164,6 +179,14 @@ def visible(clients: DataFrame, user: str, grants: DataFrame) -> DataFrame:
     return clients.where(F.col("client") == user).unionByName(clients.where(F.col("client") != user).join(grants.where(F.col("name") == user), "client", "left_semi"))
 
 
+def known_clients(*tables: DataFrame) -> DataFrame:
+    """Every client that one of the tables names (column client), once."""
+    out = tables[0].select("client")
+    for t in tables[1:]:
+        out = out.union(t.select("client"))
+    return out.distinct()
+
+
 def refreshed(known: DataFrame, snapshot_rows: DataFrame) -> DataFrame:
     """Known backups after a full snapshot: matched ones updated, missing ones dropped, new ones added."""
     flags = snapshot_rows.select("client", "bno", F.col("ts").alias("_ts"))

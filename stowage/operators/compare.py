@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 
 from stowage.functions.paths import kind_class, path_key
 
-DATA = ["f", "y", "m", "n", "v", "V", "t", "k"]
-SPECIAL = ["m", "n", "v", "V", "t", "k"]  # metadata, volume data and system files: always whole copies
+VOLUME = ["v", "V", "u", "U"]
+DATA = ["f", "y", "m", "n", "k"]
+ENCRYPTED = ["y", "n", "V", "U", "k"]
+#: Sent again whole when only the ctime changed: metadata, system files, volume data.
+TOUCHED = ["m", "n", "k", *VOLUME]
+#: Never sent as a delta, if either side is one of these.
+WHOLE = ["m", *ENCRYPTED, *VOLUME]
+#: Fixed value: the number of the newest encryption scheme.
+LATEST_SCHEME = 2
 
 
 def _sides(current: DataFrame, previous: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,33 +29,73 @@ def _sides(current: DataFrame, previous: DataFrame, columns: list[str]) -> DataF
     return side(current, "cur").join(side(previous, "prev"), ["path", "kind_class"], "full_outer")
 
 
-def change_of(delta: bool = True, windows: bool = False, max_size: int | None = None, encryption: bool = False) -> Column:
-    """Class of a joined pair, the first rule that fits: new, same, changed or deleted."""
+def is_compressed(level: Column, datapth: Column) -> Column:
+    """Whether stored data is compressed: by its level, or where that is unknown (negative or null) by its name."""
+    return F.when(level >= 0, level > 0).otherwise(F.coalesce(datapth.endswith(".gz"), F.lit(False)))
+
+
+def change_of(delta: bool = True, windows: bool = False, max_size: int | None = None, encryption: bool = False, compression: bool = False, relinked: Column | None = None) -> Column:
+    """Class of a joined pair, the first rule that fits: new, same, changed or deleted.
+
+    With ``encryption`` entries of an older scheme (column encryption) are sent again; with
+    ``compression`` files whose stored data is compressed and whose level now is 0, or the reverse
+    (columns compression and datapth). ``relinked`` says which hard links may take over their
+    deleted master's data.
+    """
     cur, prev = F.col("cur_kind"), F.col("prev_kind")
-    special = cur.isin(SPECIAL) | prev.isin(SPECIAL)
-    out = F.when(cur.isNull(), "deleted").when(prev.isNull(), "new").when(cur != prev, "new")
+    either = lambda kinds: cur.isin(kinds) | prev.isin(kinds)
+    same_mtime = F.col("cur_mtime") == F.col("prev_mtime")
+    out = F.when(cur.isNull(), "deleted").when(prev.isNull(), "new")
+    if relinked is not None:
+        out = out.when((cur != prev) & relinked, "same")
+    out = out.when(cur != prev, "new")
     if encryption:
-        out = out.when(prev.isin("y", "n", "V"), "new")
-    out = out.when((F.col("cur_mtime") == F.col("prev_mtime")) & (F.col("cur_ctime") == F.col("prev_ctime")), "same")
-    touched = F.col("cur_mtime") == F.col("prev_mtime")
-    out = out.when(touched & special, "new")
+        out = out.when(prev.isin(ENCRYPTED) & (prev != "k") & (F.col("prev_encryption") < LATEST_SCHEME), "new")
+    out = out.when(same_mtime & (F.col("cur_ctime") == F.col("prev_ctime")), "same")
+    out = out.when(same_mtime & either(TOUCHED), "new")
     if not windows:
-        out = out.when(touched, "same")
-    out = out.when(~cur.isin(DATA), "changed")
-    whole = special
+        out = out.when(same_mtime, "same")
+    out = out.when(~cur.isin(DATA + VOLUME), "changed")
     if not delta:
-        whole = F.lit(True)
-    elif max_size is not None:
-        whole = whole | (F.col("cur_size") > max_size) | (F.col("prev_size") > max_size)
-    return out.when(whole, "new").otherwise("changed")
-
-
-def compare(current: DataFrame, previous: DataFrame | None, reset: bool = False, **options) -> DataFrame:
-    """path, kind_class, kind, prev_kind and change of every entry of either inventory; all new without a previous one or after a reset."""
+        return out.otherwise("new")
+    out = out.when(either(WHOLE), "new")
+    if max_size:
+        out = out.when((F.col("cur_size") > max_size) | (F.col("prev_size") > max_size), "new")
+    if compression:
+        was = is_compressed(F.col("prev_compression"), F.col("prev_datapth"))
+        out = out.when(was != (F.coalesce(F.col("cur_compression"), F.lit(0)) > 0), "new")
+    return out.otherwise("changed")
+
+
+def relinkable(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """(path, relink): files that were hard links whose master is in the previous inventory with the file's kind and stored data; relink is that data.
+
+    The path that a hard link pointed to may be gone; what it stored is still there, so the file
+    needn't be sent again if it is the same inode with the same mtime. Inventories need dev, ino and
+    mtime, the previous one link and datapth as well.
+    """
+    was = previous.where("kind = 'L'").select("path", F.col("dev").alias("_dev"), F.col("ino").alias("_ino"), F.col("mtime").alias("_mtime"), F.col("link").alias("_link"))
+    same = (F.col("dev") == F.col("_dev")) & (F.col("ino") == F.col("_ino")) & (F.col("mtime") == F.col("_mtime"))
+    files = current.where(F.col("kind").isin("f", "y")).select("path", "kind", "dev", "ino", "mtime").join(was, "path").where(same).select("path", "kind", "_link")
+    masters = previous.where(F.col("kind").isin("f", "y") & F.col("datapth").isNotNull()).groupBy(F.col("path").alias("_link")).agg(F.min(F.struct("kind", "datapth")).alias("_m"))
+    return files.join(masters, "_link").where("kind = _m.kind").select("path", F.col("_m.datapth").alias("relink"))
+
+
+def compare(current: DataFrame, previous: DataFrame | None, reset: bool = False, relink: bool = False, **options) -> DataFrame:
+    """path, kind_class, kind, prev_kind and change of every entry of either inventory; all new without a previous one or after a reset.
+
+    With ``relink`` also relink: the stored data that a file takes over from a deleted hard-link
+    master; such a file is unchanged.
+    """
     if previous is None or reset:
         return current.select("path", kind_class(F.col("kind")).alias("kind_class"), "kind", F.lit(None).cast("string").alias("prev_kind"), F.lit("new").alias("change"))
-    joined = _sides(current, previous, ["kind", "mtime", "ctime", "size"])
-    return joined.select("path", "kind_class", F.coalesce("cur_kind", "prev_kind").alias("kind"), "prev_kind", change_of(**options).alias("change"))
+    optional = [c for c in ("encryption", "compression", "datapth") if c in current.columns and c in previous.columns]
+    joined = _sides(current, previous, ["kind", "mtime", "ctime", "size", *optional])
+    out = ["path", "kind_class", F.coalesce("cur_kind", "prev_kind").alias("kind"), "prev_kind"]
+    if relink:
+        joined = joined.join(relinkable(current, previous).withColumn("kind_class", F.lit(1)), ["path", "kind_class"], "left")
+        return joined.select(*out, change_of(relinked=F.col("relink").isNotNull(), **options).alias("change"), "relink")
+    return joined.select(*out, change_of(**options).alias("change"))
 
 
 def carry_over(current: DataFrame, previous: DataFrame, stored: list[str]) -> DataFrame:

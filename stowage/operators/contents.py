@@ -1,11 +1,11 @@
 """Contents of files: duplicates, signatures and deltas, verification, hard links, restores.
 
-Duplicates are found in two steps: files are grouped by size first, and only those of a size that
-stands twice are hashed and shuffled by hash.
+Contents don't go through a shuffle: they are hashed or cut into blocks where they are read.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,11 +18,11 @@ def duplicates(files: DataFrame, max_links: int | None = None) -> DataFrame:
     """size, md5, files, duplicates and saved of each group of equal contents (columns id, content, size; empty files don't count).
 
     With max_links each representative takes so many files at most, so that more of a group stay.
+    Contents are hashed where they are read; only sizes and digests are shuffled, already counted.
     """
-    sizes = files.where("size > 0").groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
-    hashed = files.where("size > 0").join(sizes, "size", "left_semi").select("size", F.md5(F.substring("content", 1, 1024)).alias("part"), F.md5("content").alias("md5"))
+    hashed = files.where("size > 0").select("size", F.md5("content").alias("md5"))
     kept = F.lit(1).cast("long") if max_links is None else F.ceil(F.col("files") / max_links)
-    groups = hashed.groupBy("size", "part", "md5").agg(F.count("*").alias("files")).where("files > 1")
+    groups = hashed.groupBy("size", "md5").agg(F.count("*").alias("files")).where("files > 1")
     return groups.select("size", "md5", "files", (F.col("files") - kept).alias("duplicates"), ((F.col("files") - kept) * F.col("size")).alias("saved"))
 
 
@@ -66,15 +66,23 @@ def delta(old: DataFrame, new: DataFrame, block: int) -> DataFrame:
 def rolling_delta(pairs: DataFrame, block: int = 64) -> DataFrame:
     """id, copied and literal bytes of a delta that finds the old file's blocks at any place of the new one (columns id, old, new as binary)."""
 
+    def sums(data: np.ndarray) -> np.ndarray:
+        """Weak sum of each block-sized window."""
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(data, dtype=np.int64)))
+        first, middle, last = (data[k : len(data) - block + 1 + k].astype(np.int64) for k in (0, block // 2, block - 1))
+        return (total[block:] - total[:-block]) ^ (first << 24) ^ (middle << 32) ^ (last << 40)
+
     def one(old: bytes, new: bytes) -> tuple[int, int]:
+        if min(len(old), len(new)) < block:
+            return 0, len(new)
         known = {old[i : i + block] for i in range(0, len(old) - block + 1, block)}
-        i = copied = 0
-        while i + block <= len(new):
-            if new[i : i + block] in known:
+        x, y = np.frombuffer(old, np.uint8), np.frombuffer(new, np.uint8)
+        places = np.flatnonzero(np.isin(sums(y), sums(x)[::block]))
+        free = copied = 0  # windows before free overlap the last copy
+        for i in places.tolist():
+            if i >= free and new[i : i + block] in known:
                 copied += block
-                i += block
-            else:
-                i += 1
+                free = i + block
         return copied, len(new) - copied
 
     def run(frames):
@@ -107,11 +115,12 @@ def substitute_links(selected: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def locate(wanted: DataFrame, store: DataFrame) -> DataFrame:
-    """found_bno: the first backup from the wanted one on that stores the data path (forward as-of join by key and minimum)."""
-    w = wanted.select("client", "bno", "datapth").distinct()
-    have = store.select("client", "datapth", F.col("bno").alias("_bno"))
-    near = w.join(have, ["client", "datapth"], "left").groupBy("client", "bno", "datapth").agg(F.min(F.when(F.col("_bno") >= F.col("bno"), F.col("_bno"))).alias("found_bno"))
-    return near
+    """found_bno: the first backup from the wanted one on that stores the data path: a forward as-of join, as a running minimum over both tables' rows of a data path."""
+    key = ["client", "bno", "datapth"]
+    rows = wanted.select(*key, F.lit(1).alias("_w"), F.lit(None).cast("long").alias("_bno")).union(store.select(*key, F.lit(None).cast("int"), F.col("bno").cast("long")))
+    rows = rows.groupBy(*key).agg(F.max("_w").alias("_w"), F.max("_bno").alias("_bno"))
+    later = Window.partitionBy("client", "datapth").orderBy(F.desc("bno")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("found_bno", F.min("_bno").over(later)).where("_w = 1").select(*key, "found_bno")
 
 
 def delta_chain(located: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -133,3 +142,12 @@ def not_in_target(entries: DataFrame, target: DataFrame, overwrite: bool = False
         return entries
     free = entries.where(F.col("kind").isin("d", "m", "n")).unionByName(entries.where(~F.col("kind").isin("d", "m", "n")).join(target.select("path").distinct(), "path", "left_anti"))
     return free
+
+
+def equal_contents(one: DataFrame, other: DataFrame) -> DataFrame:
+    """id, here and equal of the files of two stores (columns id, content): equal by size and digest, and where both are missing; hashed before the shuffle."""
+    side = lambda df, c: df.select("id", F.struct(F.octet_length("content"), F.md5("content")).alias(c), F.col("content").isNotNull().alias(f"{c}_there"))
+    joined = side(one, "a").join(side(other, "b"), "id", "full_outer")
+    there = lambda c: F.coalesce(F.col(f"{c}_there"), F.lit(False))
+    equal = F.when(there("a") & there("b"), F.col("a") == F.col("b")).otherwise(~there("a") & ~there("b"))
+    return joined.select("id", F.col("a").isNotNull().alias("here"), equal.alias("equal"))

@@ -20,10 +20,11 @@ def java_pattern(posix: str) -> str:
 
 
 def any_regex(path: Column, patterns: list[str], ignore_case: bool = False, empty: bool = True) -> Column:
-    """Whether one of the patterns is found; ``empty`` without patterns."""
+    """Whether one of the patterns is found; ``empty`` without patterns. A pattern that isn't one never matches."""
     out = F.lit(empty) if not patterns else F.lit(False)
-    for p in patterns:
-        out = out | path.rlike(("(?i)" if ignore_case else "") + java_pattern(p))
+    for p in map(java_pattern, patterns):
+        if _valid(p):
+            out = out | path.rlike(("(?i)" if ignore_case else "") + p)
     return out
 
 
@@ -166,3 +167,61 @@ def same_device(entries: DataFrame) -> DataFrame:
     parent = F.when(F.instr(F.substr(path, F.lit(2)), "/") == 0, F.lit("/")).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
     mounts = entries.withColumn("_parent", parent).join(folder, "_parent").where("dev <> _dev and kind = 'd'").select(path.alias("_dir")).distinct()
     return below_none(entries, mounts)
+
+
+def _valid(pattern: str) -> bool:
+    """Whether Java reads a pattern; a Spark session must be up."""
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    try:
+        SparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
+def descended(entries: DataFrame, patterns: list[str], ignore_case: bool = False) -> DataFrame:
+    """Entries that one of the patterns finds and a scan reaches: it doesn't go below a folder that none finds. All without patterns."""
+    found = any_regex(F.col("path"), patterns, ignore_case)
+    closed = entries.where(~found & (F.col("kind") == "d")).select(F.col("path").alias("_dir")).distinct()
+    return below_none(entries.where(found), closed)
+
+
+def start_folders(includes: DataFrame) -> DataFrame:
+    """path, is_start and copies of each included path: the others lie below a start and are only crossed into. copies over 1 is an error of the rules."""
+    rows = includes.groupBy("path").agg(F.count("*").alias("copies"))
+    above = rows.select("path", F.explode(ancestors(F.col("path"))).alias("_up")).where("path <> _up")
+    nested = above.join(rows.select(F.col("path").alias("_up")), "_up", "left_semi").select("path").distinct().withColumn("_nested", F.lit(True))
+    return rows.join(nested, "path", "left").select("path", F.col("_nested").isNull().alias("is_start"), "copies")
+
+
+def duplicate_rules(rules: DataFrame) -> DataFrame:
+    """path and copies of each path that stands in the rules more than once with one flag."""
+    return rules.groupBy("path", "flag").agg(F.count("*").alias("copies")).where("copies > 1").select("path", "copies").distinct()
+
+
+def glob_pattern(glob: str) -> str:
+    """A shell pattern as an anchored expression: *, ? and brackets don't cross separators or match a leading dot of a name."""
+    out, i = [], 0
+    while i < len(glob):
+        c = glob[i]
+        lead = r"(?!\.)" if i == 0 or glob[i - 1] == "/" else ""
+        end = glob.find("]", i + 2)
+        if c == "*":
+            out.append(lead + "[^/]*")
+        elif c == "?":
+            out.append(lead + "[^/]")
+        elif c == "[" and end > 0:
+            inner = glob[i + 1 : end].replace("\\", "\\\\")
+            out.append(lead + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]")
+            i = end
+        else:
+            out.append(re.escape(c))
+        i += 1
+    return "^" + "".join(out) + "$"
+
+
+def globbed(entries: DataFrame, globs: list[str]) -> DataFrame:
+    """Distinct paths that one of the shell patterns names."""
+    return entries.where(any_regex(F.col("path"), [glob_pattern(g) for g in globs], empty=False)).select("path").distinct()

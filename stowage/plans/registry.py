@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import codec, formats, paths
-from stowage.operators import browse, catalog, compare, contents, rules
+from stowage.operators import browse, catalog, clients, compare, contents, rules
 from stowage.plans.views import BACKUPS_SQL, backups, entries, entries_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,16 +27,23 @@ def query(sql: str | None = None):
     return add
 
 
+def _all() -> None:
+    """Have the other modules add theirs."""
+    from stowage.plans import lifecycle  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_sql)
 
 
 def _cls(kind: str) -> str:
-    return f"CASE WHEN {kind} IN ('v','V') THEN 0 WHEN {kind} IN ('m','n') THEN 2 WHEN {kind} IN ('t','x') THEN 3 ELSE 1 END"
+    return f"CASE WHEN {kind} IN ('v','V') THEN 0 WHEN {kind} IN ('m','n') THEN 2 WHEN {kind} IN ('u','U') THEN 3 ELSE 1 END"
 
 
 def _inv(*bnos: int) -> str:
@@ -48,8 +55,8 @@ def _joined(new: int, old: int) -> str:
       c.mtime AS cm, p.mtime AS pm, c.ctime AS cc, p.ctime AS pc
       FROM (SELECT *, {_cls("kind")} AS cls FROM e{new}) c FULL OUTER JOIN (SELECT *, {_cls("kind")} AS cls FROM e{old}) p ON c.path = p.path AND c.cls = p.cls),
     ch AS (SELECT path, kind_class, coalesce(ck, pk) AS kind, pk AS prev_kind, CASE WHEN ck IS NULL THEN 'deleted' WHEN pk IS NULL THEN 'new' WHEN ck <> pk THEN 'new'
-      WHEN cm = pm AND cc = pc THEN 'same' WHEN cm = pm AND (ck IN ('m','n','v','V','t','k') OR pk IN ('m','n','v','V','t','k')) THEN 'new' WHEN cm = pm THEN 'same'
-      WHEN ck NOT IN ('f','y','m','n','v','V','t','k') THEN 'changed' WHEN ck IN ('m','n','v','V','t','k') OR pk IN ('m','n','v','V','t','k') THEN 'new' ELSE 'changed' END AS change FROM j)"""
+      WHEN cm = pm AND cc = pc THEN 'same' WHEN cm = pm AND ck IN ('n','k','m','v','V','u','U') THEN 'new' WHEN cm = pm THEN 'same'
+      WHEN ck NOT IN ('f','y','m','n','k','v','V','u','U') THEN 'changed' WHEN ck IN ('m','y','n','V','U','k','v','u') THEN 'new' ELSE 'changed' END AS change FROM j)"""
 
 
 _COUNTS = "SELECT kind, " + ", ".join(f"CAST(sum(CASE WHEN change = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for c, n in (("new", '"new"'), ("changed", "changed"), ("same", "same"), ("deleted", "deleted"))) + " FROM ch GROUP BY kind"
@@ -254,12 +261,12 @@ def datapath_next(spark, sf_dir):
 
 @query("SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS path FROM pages")
 def url_components(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"^[a-z]+://|[?#].*$", "").alias("path"))
+    return table(spark, sf_dir, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
 
 
 @query("SELECT page_id FROM pages WHERE regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') LIKE '%/en/%'")
 def url_prefix_match(spark, sf_dir):
-    return url_components(spark, sf_dir).where(F.col("path").contains("/en/")).select("page_id")
+    return url_components(spark, sf_dir).where(rules.any_regex(F.col("path"), ["/en/"])).select("page_id")
 
 
 # Catalogue
@@ -323,7 +330,7 @@ def select_for_restore(spark, sf_dir):
 
 @query("SELECT o_custkey AS client FROM orders UNION SELECT c_custkey FROM customer")
 def clients_union(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("client")).union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
+    return catalog.known_clients(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("client")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client")))
 
 
 _OUT = " SELECT c.c_custkey AS client, last FROM customer c LEFT JOIN (SELECT client, max(ts) AS last FROM b GROUP BY client) l ON c.c_custkey = l.client"
@@ -362,12 +369,12 @@ def snapshot_summary(spark, sf_dir):
 @query("SELECT conv_id, turn, text FROM conversations c WHERE role = 'user' AND turn = (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND x.role = 'user')")
 def last_warnings(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return c.groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("r")).select("conv_id", "r.*")
+    return clients.last_lines(c.select(F.col("conv_id").alias("log"), F.col("turn").alias("line"), "text")).toDF("conv_id", "turn", "text")
 
 
 @query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN text LIKE '%a%' THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM conversations GROUP BY conv_id")
 def log_lines(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.col("text").contains("a").cast("int")).cast("long").alias("hits"))
+    return clients.log_counts(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("log"), "text"), ["a"]).withColumnRenamed("log", "conv_id")
 
 
 # Contents
@@ -395,35 +402,35 @@ def dedup_maxlinks(spark, sf_dir):
     return contents.representatives(_files(spark, sf_dir), 3)
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'no_md5' WHEN doc_id % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS state FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id AS id, CASE WHEN text IS NULL OR doc_id % 11 = 0 THEN 'unreadable' WHEN doc_id % 7 = 0 THEN 'no_md5' WHEN doc_id % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS state FROM documents")
 def verify_md5(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return contents.verify(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 5 == 0, F.md5(F.lit("x"))).otherwise(F.md5("text")).alias("md5"))).select("id", "state")
+    docs = table(spark, sf_dir, "documents")
+    return contents.verify(docs.select(F.col("doc_id").alias("id"), F.expr("CASE WHEN doc_id % 11 > 0 THEN text END").alias("content"), F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 5 == 0, F.md5(F.lit("x"))).otherwise(F.md5("text")).alias("md5"))).select("id", "state")
 
 
-_SIGN = "SELECT doc_id AS id, CAST(k AS BIGINT) AS block, CAST(length(substr(text, k * {n} + 1, {n})) AS BIGINT) AS size, md5(substr(text, k * {n} + 1, {n})) AS md5 FROM (SELECT doc_id, {text} AS text, unnest(range(0, (length({text}) - 1) // {n} + 1)) AS k FROM documents WHERE length({text}) > 0)"
-_PLAIN = "regexp_replace(text, '[^ -~]', '', 'g')"
+_SIGN = "SELECT doc_id AS id, CAST(k AS BIGINT) AS block, CAST(length(substr(h, k * 2 * {n} + 1, 2 * {n})) // 2 AS BIGINT) AS size, md5(unhex(substr(h, k * 2 * {n} + 1, 2 * {n}))) AS md5 FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 1) // {n} + 1)) AS k FROM (SELECT doc_id, hex(encode({text})) AS h FROM documents) WHERE length(h) > 0)"
 
 
-def _plain(spark, sf_dir, text: str = _PLAIN):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "[^ -~]", "").alias("content")).withColumn("size", F.length("content").cast("long"))
+def _bytes(spark, sf_dir):
+    """Whole texts as UTF-8."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("content")).withColumn("size", F.octet_length("content").cast("long"))
 
 
-@query(_SIGN.format(n=512, text=_PLAIN))
+@query(_SIGN.format(n=512, text="text"))
 def signature_blocks(spark, sf_dir):
-    return contents.signature(_plain(spark, sf_dir), F.lit(512))
+    return contents.signature(_bytes(spark, sf_dir), F.lit(512))
 
 
-@query(f"WITH o AS (SELECT id, md5, size, min(block) AS from_block FROM ({_SIGN.format(n=256, text=_PLAIN)}) GROUP BY id, md5, size), n AS ({_SIGN.format(n=256, text='concat(' + _PLAIN + chr(44) + chr(39) + 'tail' + chr(39) + ')')}) SELECT n.id, n.block, CASE WHEN from_block IS NULL THEN 'data' ELSE 'copy' END AS source, from_block FROM n LEFT JOIN o ON n.id = o.id AND n.md5 = o.md5 AND n.size = o.size")
+@query(f"WITH o AS (SELECT id, md5, size, min(block) AS from_block FROM ({_SIGN.format(n=256, text='text')}) GROUP BY id, md5, size), n AS ({_SIGN.format(n=256, text='text || chr(233) || chr(10)')}) SELECT n.id, n.block, CASE WHEN from_block IS NULL THEN 'data' ELSE 'copy' END AS source, from_block FROM n LEFT JOIN o ON n.id = o.id AND n.md5 = o.md5 AND n.size = o.size")
 def delta_blocks(spark, sf_dir):
-    old = _plain(spark, sf_dir)
-    return contents.delta(old, old.withColumn("content", F.concat("content", F.lit("tail"))), 256)
+    old = _bytes(spark, sf_dir)
+    return contents.delta(old, old.withColumn("content", F.concat("content", F.lit("\u00e9\n").cast("binary"))), 256)
 
 
 @query()
 def delta_rolling(spark, sf_dir):
-    old = _plain(spark, sf_dir)
-    return contents.rolling_delta(old.select("id", F.encode("content", "UTF-8").alias("old"), F.encode(F.concat(F.lit("head"), "content"), "UTF-8").alias("new")), 64)
+    old = _bytes(spark, sf_dir)
+    return contents.rolling_delta(old.select("id", F.col("content").alias("old"), F.concat(F.lit("head").cast("binary"), F.col("content")).alias("new")), 64)
 
 
 _STORE = _B + ", w AS (SELECT client, bno, 'p' || CAST(o_orderkey % 3 AS STRING) AS datapth FROM b), s AS (SELECT * FROM w WHERE bno % 3 = 0), f AS (SELECT w.client, w.bno, w.datapth, min(s.bno) AS found_bno FROM w LEFT JOIN s ON w.client = s.client AND w.datapth = s.datapth AND s.bno >= w.bno GROUP BY ALL)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _STEP = "CAST(floor(({b} + doc_id % 3) / 3) AS BIGINT)"
@@ -39,8 +39,8 @@ BACKUPS_SQL = "SELECT o_custkey AS client, row_number() OVER (PARTITION BY o_cus
 
 def backups(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    orders.createOrReplaceTempView("_stowage_orders")
-    return spark.sql(BACKUPS_SQL.replace("FROM orders", "FROM _stowage_orders")).withColumn("bno", F.col("bno").cast("long"))
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return orders.select(F.col("o_custkey").alias("client"), number.cast("long").alias("bno"), F.col("o_orderdate").alias("ts"), "o_orderkey")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

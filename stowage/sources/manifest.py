@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from stowage.functions.codec import ATTRIBUTES, attributes
 
-DATA, LINKS, PLAIN = "fymnvVtk", "lL", "ds"
+DATA, LINKS, PLAIN = "fymnvVuUk", "lL", "ds"
+#: Entries that a task decodes before it hands them on.
+STEP = 10_000
 COLUMNS = ["path", "kind", "link", "datapth", "attr", "bytes", "md5"]
 
 
@@ -93,9 +96,9 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     def run(pdfs):
         for pdf in pdfs:
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                rows = list(decode(bytes(data), strict))
-                if rows:
-                    out = pd.DataFrame(rows, columns=COLUMNS)
+                rows = decode(bytes(data), strict)
+                while part := list(islice(rows, STEP)):
+                    out = pd.DataFrame(part, columns=COLUMNS)
                     out["bytes"] = out["bytes"].astype("Int64")
                     yield out.assign(manifest=name)
 
