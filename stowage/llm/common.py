@@ -25,7 +25,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _powers = np.ones(1, _U)
 _inverse = np.ones(1, _U)
-_letters = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_letters = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _white = np.zeros(256, bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
 
@@ -133,10 +133,10 @@ def inverse_powers(n: int) -> np.ndarray:
     return _inverse
 
 
-def prefix_sums(codes: np.ndarray) -> np.ndarray:
-    """Sums s with s[j] - s[i] = sum of letter[codes[k]] * B ** k for i <= k < j."""
+def prefix_sums(codes: np.ndarray, family: int = 0) -> np.ndarray:
+    """Sums s with s[j] - s[i] = sum of letter[codes[k]] * B ** k for i <= k < j; of two families with letters of their own."""
     out = np.zeros(len(codes) + 1, _U)
-    np.cumsum(_letters[codes] * powers(len(codes))[: len(codes)], out=out[1:])
+    np.cumsum(_letters[family][codes] * powers(len(codes))[: len(codes)], out=out[1:])
     return out
 
 

@@ -91,4 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what SQL can say; models, tokenizers, markup and alignments are tested against brute force instead."""
+    from . import oracles
+
+    return {"op7_ngram_jaccard": oracles.NGRAM_JACCARD, "op10_suffix_dedup": oracles.repeated_bytes(400)}

@@ -21,8 +21,9 @@ array is sparse:
 Cases: null and empty texts have nothing to remove, like texts shorter than ``length``; texts of
 any length are treated whole; repeated rows (and equal texts) are repeated strings like any other;
 an empty table gives an empty table; further columns are kept by ``remove_repeats``, whose own
-columns are named ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` and replace columns of that
-name.
+columns are named ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` and ``kept_text`` and replace
+columns of that name, like the keys ``_k1``, ``_k2`` and ``_ranges`` that it works with. One text is worked on in one
+task, with some 60 bytes of memory for each of its bytes: 20 MB of text need an executor's 1.2 GB.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     keep = first <= last
     text, place, first, last = text[keep], place[keep], first[keep], last[keep]
     seed = mix(spans_hash(sums, place, place + SEED)).astype(np.int64)
-    context = mix(spans_hash(sums, first, last + length) + mix((place - first).astype(_U) + _U(1) + ((last - first).astype(_U) << _U(32)))).astype(np.int64)
+    context = mix(spans_hash(prefix_sums(joined, 1), first, last + length) + mix((place - first).astype(_U) + _U(1) + ((last - first).astype(_U) << _U(32)))).astype(np.int64)
     return text, place, first, last, seed, context, joined, stop
 
 
@@ -285,23 +286,24 @@ def equal_neighbours(rows: DataFrame, keys: list[str], ids: list[str]) -> DataFr
 
 
 def _in_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """What ``_in_blocks`` returns, for seeds with more contexts than a bucket may hold: a row for each window."""
+    """What ``_in_blocks`` returns, for seeds with more contexts than a bucket may hold: a row for each window, which two independent 64-bit hashes stand for."""
 
     def spread(batch: pa.RecordBatch):
         c = batch.column(3).to_pylist()
         windows = batch.column(2).to_numpy()
         for a, b in slices([32 * int(w) for w in windows]):
-            sums = prefix_sums(np.frombuffer(b"".join(c[a:b]), np.uint8))
+            joined = np.frombuffer(b"".join(c[a:b]), np.uint8)
+            sums = prefix_sums(joined)
             size = np.array([len(x) for x in c[a:b]])
             base = np.repeat(np.cumsum(size) - size, windows[a:b])
             window = np.arange(len(base)) - np.repeat(np.cumsum(windows[a:b]) - windows[a:b], windows[a:b])
             start = base + window
-            lead, print_ = mix(spans_hash(sums, start, start + SEED)), mix(spans_hash(sums, start, start + length))
+            prints = [mix(spans_hash(s, start, end)).astype(np.int64) for s, end in ((sums, start + SEED), (sums, start + length), (prefix_sums(joined, 1), start + length))]
             row = pa.array(np.repeat(np.arange(a, b), windows[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(lead.astype(np.int64)), pa.array(print_.astype(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(window.astype(np.int32))], names=["lead", "print", "seed", "context", "window"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, prints), batch.column(0).take(row), batch.column(1).take(row), pa.array(window.astype(np.int32))], names=["lead", "print", "print_2", "seed", "context", "window"])
 
-    rows = map_batches(contexts.select("seed", "context", "windows", "bytes"), spread, "lead long, print long, seed long, context long, window int")
-    found = equal_neighbours(rows, ["lead", "print"], ["seed", "context", "window"])
+    rows = map_batches(contexts.select("seed", "context", "windows", "bytes"), spread, "lead long, print long, print_2 long, seed long, context long, window int")
+    found = equal_neighbours(rows, ["lead", "print", "print_2"], ["seed", "context", "window"])
     # At most ``length`` windows to a context.
     return found.groupBy("seed", "context").agg(F.collect_set("window").alias("w")).select("seed", "context", F.explode("w").alias("begin")).withColumn("end", (F.col("begin") + 1).cast("int"))
 
@@ -328,6 +330,38 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, text_col: str) ->
     return map_batches(both.select("text", "a"), step, "seed long, context long, lead long, at int, windows int, big boolean, bytes binary"), packed
 
 
+def _merge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Ranges of each text in order, those that touch or overlap as one."""
+    lists = batch.column(2)
+    flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    row, begin, end = np.repeat(np.arange(len(size)), size), flat.field("begin").to_numpy(), flat.field("end").to_numpy()
+    order = np.lexsort((end, begin, row))
+    row, begin, end = row[order], begin[order], end[order]
+    # Each text lies behind the one before, so that one running maximum serves all.
+    shift = row * (int(end.max(initial=0)) + 2)
+    reach = np.maximum.accumulate(end + shift)
+    new = np.ones(len(row), bool)
+    new[1:] = begin[1:] + shift[1:] > reach[:-1]
+    start = np.flatnonzero(new)
+    last = np.append(start[1:], len(row)) - 1
+    at = np.concatenate(([0], np.cumsum(np.bincount(row[start], minlength=len(size))))).astype(np.int32)
+    found = pa.StructArray.from_arrays([pa.array(begin[start]), pa.array(reach[last] - shift[last])], names=["begin", "end"])
+    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), found)], names=["_k1", "_k2", "ranges"])
+
+
+def whole_characters(text: bytes, begin: list[int], end: list[int]) -> str:
+    """What stays of a text without the ranges, and without the characters that they cut."""
+    pieces, last = [], 0
+    for i, j in zip(begin, end, strict=True):
+        while i > 0 and text[i] & 0xC0 == 0x80:
+            i -= 1
+        while j < len(text) and text[j] & 0xC0 == 0x80:
+            j += 1
+        pieces.append(text[last : max(i, last)])
+        last = j
+    return b"".join([*pieces, text[last:]]).decode()
+
+
 def repeated_ranges(docs: DataFrame, length: int, text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(_k1, _k2, ranges): for each text with repeated strings, by ``text_key``, the sorted disjoint byte ranges that they cover."""
     if length <= SEED:
@@ -356,23 +390,18 @@ def repeated_ranges(docs: DataFrame, length: int, text_col: str = "text", block_
     whole = state.where("n > 1").select("_k1", "_k2", F.col("first").alias("begin"), (F.col("first") + F.col("windows") - 1 + length).alias("end"))
     part = state.where("n = 1").join(found, ["seed", "context"]).select("_k1", "_k2", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end") - 1 + length).alias("end"))
     # At most one range for each window of a text, and one for each of its anchors as a rule.
-    every = whole.union(part).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("all"))
-    merged = F.aggregate(
-        "all",
-        F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)"),
-        lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["begin"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["begin"].alias("begin"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
-    )
-    ranges = cut(every.select("_k1", "_k2", merged.alias("ranges")))
+    every = whole.union(part).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("begin", "end")).alias("all"))
+    ranges = cut(map_batches(every, _merge, "_k1 long, _k2 long, ranges array<struct<begin:bigint,end:bigint>>"))
     forget(state, found)
     return ranges
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", block_rows: int = BLOCK_ROWS, as_text: bool = False) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept (the remaining bytes) of each text.
+def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_text of each text.
 
-    With ``as_text`` kept is a string, without the characters that lost some of their bytes.
+    kept_text lacks the characters of which only some bytes were removed, too.
     """
-    own = ["n_bytes", "n_removed", "n_spans", "kept"]
+    own = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
     docs = docs.drop(*own, "_k1", "_k2", "_ranges")
     ranges = repeated_ranges(docs, length, text_col, block_rows)
     names = docs.columns
@@ -388,16 +417,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", b
                 pieces.append(text[last:i])
                 removed += j - i
                 last = j
-            rows.append((len(text), removed, len(begin or ()), b"".join([*pieces, text[last:]]) if begin else text))
-        if as_text:
-            rows = [(*r[:3], r[3].decode("utf-8", "ignore")) for r in rows]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+            rows.append((len(text), removed, len(begin or ()), b"".join([*pieces, text[last:]]) if begin else text, whole_characters(text, begin or (), end or ())))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
         yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[*names, *own])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(marked, step, f"{schema}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    return map_batches(marked, step, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
 
 
 def digests(kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, sizes, spans and the SHA-256 of what is kept, of a result of ``remove_repeats``."""
-    return kept.select(F.col(id_col).cast("long").alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """id, sizes, spans and the SHA-256 of what is kept, of a result of ``remove_repeats``, and the text that is kept."""
+    return kept.select(F.col(id_col).cast("long").alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"))
