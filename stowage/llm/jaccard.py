@@ -41,6 +41,8 @@ HOT = 32
 ROUNDS, CENTRES, PROPOSE = 3, 4, 2
 #: Rows of a table of one or two numbers that may be broadcast; a larger one is joined by shuffling.
 MAX_BROADCAST = 500_000
+#: Bytes of text that one step makes shingles of.
+STEP_BYTES = 1 << 20
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -112,7 +114,7 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
 
     def step(batch: pa.RecordBatch):
         texts = encoded(batch.column(1))
-        for a, b in slices([len(t) for t in texts]):
+        for a, b in slices([len(t) for t in texts], STEP_BYTES):
             grams, per = shingle_sets(texts[a:b], n)
             stop = np.cumsum(per)
             start = stop - per
@@ -140,7 +142,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -
 
     def step(batch: pa.RecordBatch):
         texts = encoded(batch.column(1))
-        for a, b in slices([len(t) for t in texts]):
+        for a, b in slices([len(t) for t in texts], STEP_BYTES):
             grams, per = shingle_sets(texts[a:b], n)
             stop = np.cumsum(per)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([grams[i:j].tobytes() for i, j in zip(stop - per, stop, strict=True)], pa.binary())], names=["id", "grams"])

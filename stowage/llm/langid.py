@@ -147,10 +147,9 @@ class Model:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most sample_rows rows with a text and a language, whole texts."""
-    known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).orderBy(F.xxhash64("_id"), "_id", "_lang").limit(sample_rows)
-    chosen = F.broadcast(ids.select("_id").distinct())  # sample_rows ids at most
-    sample = known.join(chosen, F.col(id_col) == F.col("_id"), "left_semi")
+    known = labelled.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_text is not null and _lang is not null")
+    ids = known.select("_id", "_lang").orderBy(F.xxhash64("_id"), "_id", "_lang").limit(sample_rows)
+    sample = known.join(F.broadcast(ids.select("_id").distinct()), "_id", "left_semi")  # sample_rows ids at most
 
     def count(batch: pa.RecordBatch):
         langs = batch.column(1).to_pylist()
@@ -167,7 +166,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
                 keys = np.concatenate((gram.view(np.int64), np.arange(len(NAMES))))
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys), pa.array([lang] * len(keys)), pa.array(np.concatenate((n, of_script)))], names=["is_script", "gram", "lang", "n"])
 
-    counts = cut(map_batches(sample.select(F.col(text_col), F.col(lang_col).cast("string")), count, "is_script boolean, gram long, lang string, n long").groupBy("is_script", "gram", "lang").agg(F.sum("n").alias("n")).where("n > 0"))
+    counts = cut(map_batches(sample.select("_text", "_lang"), count, "is_script boolean, gram long, lang string, n long").groupBy("is_script", "gram", "lang").agg(F.sum("n").alias("n")).where("n > 0"))
     scripts = counts.where("is_script").select("gram", "lang", "n").collect()  # a row for each language and script
     langs = sorted({r["lang"] for r in scripts})
     if not langs:
