@@ -22,23 +22,31 @@ PASSAGE_BYTES = 200
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on all labels of these documents, doesn't call toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are the smallest doc_id of their near-duplicate group; rows with a null id stay."""
+    """Documents that are the smallest doc_id of their near-duplicate group.
+
+    Rows with a null id stay. Of rows that repeat an id with one text the first in the order of
+    their other columns stays; an id that has several texts keeps a row of each.
+    """
     group = cut(jaccard.jaccard_components(docs, n=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct())
     kept = docs.join(group, docs["doc_id"] == group["_later"], "left_anti")
-    # A row that repeats an id is of its own group.
-    same = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return same.unionByName(kept.where("doc_id is null"))
+    again = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"))
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(again, kept["doc_id"] == again["_again"], "left_anti")
+    several = kept.join(again, kept["doc_id"] == again["_again"], "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return once.unionByName(several.select("_row.*"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand at two places; a character that loses a byte goes whole."""
-    kept = suffixes.remove_repeats(docs, PASSAGE_BYTES, as_text=True)
+    kept = suffixes.remove_repeats(docs, PASSAGE_BYTES)
     changed = F.col("n_removed") > 0
-    return kept.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text"))).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return kept.select(*(own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns))
 
 
 def not_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
