@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +103,32 @@ def in_network(address: Column, network: str) -> Column:
     number = lambda c: F.aggregate(F.split(c, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.try_cast("long"))
     mask = (0xFFFFFFFF << (32 - int(bits))) & 0xFFFFFFFF
     return number(address).bitwiseAND(F.lit(mask)) == number(F.lit(base)).bitwiseAND(F.lit(mask))
+
+
+def allowed(address: Column, networks: list[str]) -> Column:
+    """Whether an address lies in one of the networks, of either version; all do without networks. A text that is no address doesn't.
+
+    Networks that can't be read raise ValueError where the expression is made.
+    """
+    if not networks:
+        return F.lit(True)
+    known = [ipaddress.ip_network(n.strip(), strict=False) for n in networks]
+    four, six = [n for n in known if n.version == 4], [n for n in known if n.version == 6]
+    out = F.lit(False)
+    for n in four:
+        out = out | F.coalesce(in_network(address, str(n)), F.lit(False))
+    dotted = address.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    if not six:
+        return dotted & out
+
+    def inside(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> bool:
+            try:
+                found = ipaddress.ip_address(text or "")
+            except ValueError:
+                return False
+            return found.version == 6 and any(found in n for n in six)
+
+        return texts.map(one).astype(bool)
+
+    return F.when(dotted, out).otherwise(F.pandas_udf(inside, "boolean")(address))

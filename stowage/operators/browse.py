@@ -9,7 +9,7 @@ from stowage.functions.paths import path_key
 
 #: Flags of a backup in the order of its JSON, and fields of counters.
 FLAGS = ["hardlinked", "deletable", "working", "finishing", "current", "manifest"]
-FIELDS = ["new", "changed", "same", "deleted"]
+FIELDS = ["new", "changed", "same", "deleted", "scanned"]
 HIDDEN = ["m", "n", "v", "V", "u", "U"]
 
 
@@ -58,6 +58,11 @@ def counters_json(counts: DataFrame) -> DataFrame:
     return counts.where(" + ".join(f"`{f}`" for f in FIELDS) + " > 0").select("kind", F.to_json(F.struct("kind", *FIELDS)).alias("json"))
 
 
+def single_counters_json(counts: DataFrame) -> DataFrame:
+    """kind and JSON of counters of one number (columns name, kind, count): warnings, messages, bytes; without those of 0."""
+    return counts.where("count > 0").select("kind", F.to_json(F.struct("name", F.col("kind").alias("type"), "count")).alias("json"))
+
+
 def parse_catalog(lines: DataFrame, column: str = "json") -> DataFrame:
     """client, number, timestamp and flags of each backup in the JSON of ``catalog_json``."""
     schema = "name string, backups array<struct<number:bigint,timestamp:bigint,flags:array<string>>>"

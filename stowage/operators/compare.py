@@ -130,21 +130,24 @@ def merge(changed: DataFrame, unchanged: DataFrame) -> DataFrame:
 
 
 def counters(changes: DataFrame) -> DataFrame:
-    """Entries of each kind by change."""
-    count = lambda c: F.sum(F.when(F.col("change") == c, 1).otherwise(0)).cast("long").alias(c)
-    return changes.groupBy("kind").agg(*(count(c) for c in ("new", "changed", "same", "deleted")))
+    """Entries of each kind by change, and how many the scan saw; a changed file (z) counts to the files."""
+    kind = F.when(F.col("kind") == "z", "f").otherwise(F.col("kind")).alias("kind")
+    count = lambda condition, name: F.sum(F.when(condition, 1).otherwise(0)).cast("long").alias(name)
+    change = F.col("change")
+    return changes.groupBy(kind).agg(*(count(change == c, c) for c in ("new", "changed", "same", "deleted")), count(change != "deleted", "scanned"))
 
 
 def totals(counts: DataFrame) -> DataFrame:
-    """Counters with the grand total as kind "Z"; warnings and messages aren't part of it."""
-    names = ["new", "changed", "same", "deleted"]
+    """Counters with the total "Y" and the grand total "Z", to which alone scanned entries add; warnings and messages are in neither."""
+    names = ["new", "changed", "same", "deleted", "scanned"]
     whole = counts.where(~F.col("kind").isin("w", "p")).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names))
-    return counts.unionByName(whole.select(F.lit("Z").alias("kind"), *names))
+    both = whole.select(F.explode(F.array(F.lit("Y"), F.lit("Z"))).alias("kind"), *names)
+    return counts.unionByName(both.withColumn("scanned", F.when(F.col("kind") == "Z", F.col("scanned")).otherwise(0)))
 
 
 def report(counts: DataFrame) -> DataFrame:
-    """Rows of the printed report: with a total, without kinds that were only deleted."""
-    return counts.withColumn("total", F.col("new") + F.col("changed") + F.col("same")).where("total > 0")
+    """Rows of the printed report: new, changed, same, deleted, their total without the deleted, and scanned; without kinds of which nothing was scanned or stored."""
+    return counts.withColumn("total", F.col("new") + F.col("changed") + F.col("same")).where("total > 0 or scanned > 0")
 
 
 def byte_sums(manifest: DataFrame, by: list[str]) -> DataFrame:

@@ -48,12 +48,17 @@ def verify(files: DataFrame) -> DataFrame:
     return files.withColumn("state", state)
 
 
+def _blocks(files: DataFrame, block: Column) -> DataFrame:
+    """id, block (from 0) and data of the blocks of each file."""
+    step = block.cast("int")
+    cuts = F.transform(F.sequence(F.lit(0), (F.floor((F.length("content") - 1) / step)).cast("int")), lambda k: F.substring(F.col("content"), k * step + 1, step))
+    return files.where(F.length("content") > 0).select("id", F.posexplode(cuts).alias("block", "data")).withColumn("block", F.col("block").cast("long"))
+
+
 def signature(files: DataFrame, block: Column | None = None) -> DataFrame:
     """id, block (from 0), size and md5 of the blocks of each file."""
-    step = (block_length(F.col("size")) if block is None else block).cast("int")
-    cuts = F.transform(F.sequence(F.lit(0), (F.floor((F.length("content") - 1) / step)).cast("int")), lambda k: F.substring(F.col("content"), k * step + 1, step))
-    blocks = files.where(F.length("content") > 0).select("id", F.posexplode(cuts).alias("block", "data"))
-    return blocks.select("id", F.col("block").cast("long").alias("block"), F.length("data").cast("long").alias("size"), F.md5("data").alias("md5"))
+    blocks = _blocks(files, block_length(F.col("size")) if block is None else block)
+    return blocks.select("id", "block", F.length("data").cast("long").alias("size"), F.md5("data").alias("md5"))
 
 
 def delta(old: DataFrame, new: DataFrame, block: int) -> DataFrame:
@@ -151,3 +156,33 @@ def equal_contents(one: DataFrame, other: DataFrame) -> DataFrame:
     there = lambda c: F.coalesce(F.col(f"{c}_there"), F.lit(False))
     equal = F.when(there("a") & there("b"), F.col("a") == F.col("b")).otherwise(~there("a") & ~there("b"))
     return joined.select("id", F.col("a").isNotNull().alias("here"), equal.alias("equal"))
+
+
+def with_data(instructions: DataFrame, new: DataFrame, block: int) -> DataFrame:
+    """Instructions of ``delta`` with the bytes of those that don't copy: what has to be stored or sent."""
+    return instructions.join(_blocks(new, F.lit(block)), ["id", "block"]).select("id", "block", "source", "from_block", F.when(F.col("source") == "data", F.col("data")).alias("data"))
+
+
+def patch(old: DataFrame, instructions: DataFrame, block: int) -> DataFrame:
+    """id and content of the files that instructions with their data make from old ones.
+
+    Blocks come together by file: one file's content must fit a task, its blocks needn't be copied
+    by one. A file without instructions isn't returned.
+    """
+    have = _blocks(old, F.lit(block)).select("id", F.col("block").alias("from_block"), F.col("data").alias("_copy"))
+    rows = instructions.join(have, ["id", "from_block"], "left").select("id", "block", F.coalesce("data", "_copy").alias("data"))
+    parts = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("block", "data"))).alias("p"))
+    return parts.select("id", F.aggregate("p", F.lit(b""), lambda done, x: F.concat(done, x["data"])).alias("content"))
+
+
+def fold(latest: DataFrame, deltas: dict[int, DataFrame], wanted: int, block: int) -> DataFrame:
+    """id and content of an older version: the reverse deltas from the latest one's down to the wanted number, newest first.
+
+    deltas holds the instructions of each generation with their data; a file without a delta in a
+    generation is the same in it.
+    """
+    now = latest.select("id", "content")
+    for bno in sorted((b for b in deltas if b >= wanted), reverse=True):
+        made = patch(now, deltas[bno], block)
+        now = made.unionByName(now.join(made.select("id"), "id", "left_anti"))
+    return now

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from stowage.functions import codec, formats, kinds
 from stowage.operators import browse, catalog, clients, compare, contents, lifecycle, rules
-from stowage.plans.registry import _B, _inv, query
+from stowage.plans.registry import _B, _bytes, _inv, _joined, compare_rows, query
+from stowage.sources import sinks
 from stowage.plans.views import backups, entries, entries_sql, table
 
 _TYPES = ["regular", "raw", "fifo", "directory", "symlink", "hardlink", "special", "nostat", "noopen", "other"]
@@ -335,3 +336,57 @@ def monitor_requests(spark, sf_dir):
         found = clients.answer(clients.parse_request(text), c, b, logs)
         out = found if out is None else out.union(found)
     return out
+
+
+# Journals, deltas and addresses
+
+
+@query(f"{_joined(3, 2)} SELECT path, CASE change WHEN 'new' THEN 'n' WHEN 'changed' THEN 'c' WHEN 'same' THEN 's' ELSE 'd' END || kind || printf('%04X', strlen(path)) || path AS line FROM ch")
+def journal_lines(spark, sf_dir):
+    return compare_rows(spark, sf_dir).select("path", sinks.journal_line(F.col("change"), F.col("kind"), F.col("path")).alias("line"))
+
+
+@query("SELECT conv_id, turn, strftime(TIMESTAMP '2026-01-01 00:00:00' + to_seconds(CAST(turn AS BIGINT)), '%Y-%m-%d %H:%M:%S') || ' ::1 ' || role || ' ' || substr(text, 1, 5) AS line FROM conversations")
+def audit_lines(spark, sf_dir):
+    stamp = F.date_format(F.expr("TIMESTAMP '2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, turn)"), "yyyy-MM-dd HH:mm:ss")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sinks.audit_line(stamp, F.lit("::1"), F.col("role"), F.substring("text", 1, 5)).alias("line"))
+
+
+@query("SELECT user_id AS client, min(ts) AS created FROM events GROUP BY user_id")
+def first_contacts(spark, sf_dir):
+    return sinks.first_contacts(table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), F.col("ts").alias("stamp")))
+
+
+@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'w' ELSE 'p' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'warnings' ELSE 'messages' END AS name, CAST(count(*) AS BIGINT) AS count FROM events GROUP BY 1, 2")
+def log_counters(spark, sf_dir):
+    return sinks.log_counters(table(spark, sf_dir, "events").select(F.expr("CASE WHEN event_id % 3 = 0 THEN 'warning' ELSE 'message' END").alias("level"), F.col("event_type").alias("text")))
+
+
+def _versions(spark, sf_dir):
+    """Three generations of each text: as it is, with a tail, and with a head and a tail."""
+    old = _bytes(spark, sf_dir)
+    middle = old.withColumn("content", F.concat("content", F.lit("tail").cast("binary"))).withColumn("size", F.col("size") + 4)
+    new = middle.withColumn("content", F.concat(F.lit("head").cast("binary"), "content")).withColumn("size", F.col("size") + 4)
+    return old, middle, new
+
+
+@query("SELECT doc_id AS id, md5(text || 'tail') AS md5 FROM documents WHERE text IS NOT NULL")
+def patched_files(spark, sf_dir):
+    old, middle, _ = _versions(spark, sf_dir)
+    sent = contents.with_data(contents.delta(old, middle, 256), middle, 256)
+    return contents.patch(old, sent, 256).select("id", F.md5("content").alias("md5"))
+
+
+@query("SELECT doc_id AS id, md5(text) AS md5 FROM documents WHERE text <> ''")
+def folded_deltas(spark, sf_dir):
+    """The oldest of three versions, from the latest and two reverse deltas."""
+    old, middle, new = _versions(spark, sf_dir)
+    reverse = lambda a, b: contents.with_data(contents.delta(a, b, 256), b, 256)
+    made = contents.fold(new, {2: reverse(new, middle), 1: reverse(middle, old)}, 1, 256)
+    return made.join(old.where("size > 0").select("id"), "id", "left_semi").select("id", F.md5("content").alias("md5"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN doc_id % 256 >= 128 WHEN 1 THEN TRUE WHEN 2 THEN FALSE WHEN 3 THEN TRUE ELSE FALSE END AS ok FROM documents")
+def allowed_addresses(spark, sf_dir):
+    address = F.expr("CASE doc_id % 5 WHEN 0 THEN concat('10.1.2.', CAST(doc_id % 256 AS STRING)) WHEN 1 THEN '192.168.7.9' WHEN 2 THEN '192.169.0.1' WHEN 3 THEN '2001:db8::17' ELSE 'nowhere' END")
+    return _docs(spark, sf_dir).select("doc_id", formats.allowed(address, ["10.1.2.128/25", "192.168.0.0/16", "2001:db8::/32"]).alias("ok"))

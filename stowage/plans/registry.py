@@ -59,7 +59,7 @@ def _joined(new: int, old: int) -> str:
       WHEN ck NOT IN ('f','y','m','n','k','v','V','u','U') THEN 'changed' WHEN ck IN ('m','y','n','V','U','k','v','u') THEN 'new' ELSE 'changed' END AS change FROM j)"""
 
 
-_COUNTS = "SELECT kind, " + ", ".join(f"CAST(sum(CASE WHEN change = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for c, n in (("new", '"new"'), ("changed", "changed"), ("same", "same"), ("deleted", "deleted"))) + " FROM ch GROUP BY kind"
+_COUNTS = "SELECT kind, " + ", ".join(f"CAST(sum(CASE WHEN change = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for c, n in (("new", '"new"'), ("changed", "changed"), ("same", "same"), ("deleted", "deleted"))) + ", CAST(count(*) - sum(CASE WHEN change = 'deleted' THEN 1 ELSE 0 END) AS BIGINT) AS scanned FROM ch GROUP BY kind"
 
 
 # Comparison
@@ -70,7 +70,7 @@ def compare_rows(spark, sf_dir):
     return compare.compare(entries(spark, sf_dir, 3), entries(spark, sf_dir, 2))
 
 
-@query(f"{_joined(3, 2)}, n AS ({_COUNTS}) SELECT * FROM n UNION ALL SELECT 'Z', " + ", ".join(f"CAST(sum({c}) AS BIGINT)" for c in ('"new"', "changed", "same", "deleted")) + " FROM n WHERE kind NOT IN ('w','p')")
+@query(f"{_joined(3, 2)}, n AS ({_COUNTS}) SELECT * FROM n" + "".join(f" UNION ALL SELECT '{z}', " + ", ".join(f"CAST(sum({c}) AS BIGINT)" for c in ('"new"', "changed", "same", "deleted", last)) + " FROM n WHERE kind NOT IN ('w','p')" for z, last in (("Y", "0"), ("Z", "scanned"))))
 def compare_counters(spark, sf_dir):
     return compare.totals(compare.counters(compare_rows(spark, sf_dir)))
 
@@ -477,7 +477,7 @@ def catalog_json(spark, sf_dir):
     return browse.parse_catalog(browse.catalog_json(_flagged(spark, sf_dir))).withColumn("flags", F.array_join("flags", ","))
 
 
-@query(f"{_joined(3, 2)}, n AS ({_COUNTS}) SELECT kind, CAST(\"new\" AS STRING) || ',' || CAST(changed AS STRING) || ',' || CAST(same AS STRING) || ',' || CAST(deleted AS STRING) AS fields FROM n WHERE \"new\" + changed + same + deleted > 0")
+@query(f"{_joined(3, 2)}, n AS ({_COUNTS}) SELECT kind, CAST(\"new\" AS STRING) || ',' || CAST(changed AS STRING) || ',' || CAST(same AS STRING) || ',' || CAST(deleted AS STRING) || ',' || CAST(scanned AS STRING) AS fields FROM n WHERE \"new\" + changed + same + deleted > 0")
 def counters_json(spark, sf_dir):
     j = browse.counters_json(compare.counters(compare_rows(spark, sf_dir)))
     return j.select("kind", F.concat_ws(",", *(F.get_json_object("json", f"$.{f}") for f in browse.FIELDS)).alias("fields"))

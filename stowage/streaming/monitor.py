@@ -46,9 +46,13 @@ def run_once(spark: SparkSession, path: str, checkpoint: str | None = None, max_
 
 
 def _own_dir(spark: SparkSession) -> str:
-    import tempfile
+    """A folder that executors share, where the session names none: a temporary one in local mode, else one in the warehouse."""
+    if spark.sparkContext.master.startswith("local"):
+        import tempfile
 
-    made = "file://" + tempfile.mkdtemp(prefix="spark-stowage-")
+        made = "file://" + tempfile.mkdtemp(prefix="spark-stowage-")
+    else:
+        made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stowage"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
