@@ -390,3 +390,21 @@ def folded_deltas(spark, sf_dir):
 def allowed_addresses(spark, sf_dir):
     address = F.expr("CASE doc_id % 5 WHEN 0 THEN concat('10.1.2.', CAST(doc_id % 256 AS STRING)) WHEN 1 THEN '192.168.7.9' WHEN 2 THEN '192.169.0.1' WHEN 3 THEN '2001:db8::17' ELSE 'nowhere' END")
     return _docs(spark, sf_dir).select("doc_id", formats.allowed(address, ["10.1.2.128/25", "192.168.0.0/16", "2001:db8::/32"]).alias("ok"))
+
+
+# Streams
+
+
+@query("SELECT DISTINCT event_id, user_id, event_type, ts FROM events")
+def change_log_stream(spark, sf_dir):
+    from stowage.streaming.monitor import append_log, source
+
+    return append_log(source(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "ts"))
+
+
+@query("SELECT event_id, c_custkey IS NOT NULL AS known FROM events LEFT JOIN customer ON c_custkey = user_id")
+def stream_with_dimension(spark, sf_dir):
+    from stowage.streaming.monitor import source, with_dimension
+
+    load = lambda: table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("known"))
+    return with_dimension(source(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id"), load, ["user_id"]).select("event_id", F.coalesce("known", F.lit(False)).alias("known"))

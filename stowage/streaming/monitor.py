@@ -7,7 +7,7 @@ forget jobs that stop reporting.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +32,7 @@ def run_once(spark: SparkSession, path: str, checkpoint: str | None = None, max_
     Each micro-batch writes the keys it changed; the table keeps the newest row of each key.
     """
     out = checkpoint or f"{spark.conf.get('spark.checkpoint.dir', None) or _own_dir(spark)}/monitor-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
-    folder, name = (path, "*.parquet") if _is_folder(spark, path) else path.rsplit("/", 1)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", name).parquet(folder)
+    stream = source(spark, path, max_files)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/changes/batch={number}")
@@ -86,3 +84,45 @@ def evicting(rows: DataFrame, seconds: int) -> DataFrame:
 def merge_snapshots(known: DataFrame, snapshot: DataFrame, keys: list[str]) -> DataFrame:
     """Known rows after a full snapshot: those not in it go, the others take its values."""
     return snapshot.join(known.select(*keys, F.lit(True).alias("_known")), keys, "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
+
+
+def source(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
+    """A stream of the Parquet files under a path, or of one file."""
+    schema = spark.read.parquet(path).schema
+    folder, name = (path, "*.parquet") if _is_folder(spark, path) else path.rsplit("/", 1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", name).parquet(folder)
+
+
+def _target(spark: SparkSession, name: str) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or _own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def append_log(stream: DataFrame, path: str | None = None, delay: str = "1 hour", time_col: str = "ts") -> DataFrame:
+    """Append a stream of changes to a log while its source is scanned, until the input is used up, and return the log.
+
+    Rows that repeat within ``delay`` are one; the watermark bounds the state that this takes, and
+    rows that come later than that are left out.
+    """
+    spark = stream.sparkSession
+    out = path or _target(spark, "log")
+    once = stream.withColumn("_at", F.col(time_col).cast("timestamp")).withWatermark("_at", delay).dropDuplicatesWithinWatermark(stream.columns).drop("_at")
+    once.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def with_dimension(stream: DataFrame, load: Callable[[], DataFrame], keys: list[str], path: str | None = None) -> DataFrame:
+    """Join each micro-batch with a dimension that is loaded anew for it, so that a changed configuration counts from the next batch on."""
+    spark = stream.sparkSession
+    out = path or _target(spark, "joined")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.join(load(), keys, "left").write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
+def recheck(spark: SparkSession, check: Callable[[], DataFrame], each: Callable[[DataFrame], None], seconds: int):
+    """Run a check again every so many seconds while the returned query is active: a timer that asks whether a running job should stop."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, number: each(check())).trigger(processingTime=f"{seconds} seconds").start()

@@ -4,7 +4,7 @@ import gzip
 
 import pytest
 
-from stowage.sources import config, files, manifest
+from stowage.sources import config, files, manifest, sinks
 from stowage.streaming import monitor
 
 ROWS = [
@@ -62,3 +62,27 @@ def test_merge_snapshots(spark):
     known = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     snap = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
     assert sorted(map(tuple, monitor.merge_snapshots(known, snap, ["k"]).collect())) == [(2, "c", False), (3, "d", True)]
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("new", "f", "/a/é"), ("deleted", "d", "/b")], "change string, kind string, path string")
+    sinks.write_journal(rows, str(tmp_path / "journal"))
+    sinks.write_journal(rows.limit(1), str(tmp_path / "journal"))
+    back = sinks.parse_journal(spark.read.text(str(tmp_path / "journal")))
+    assert sorted(map(tuple, back.collect())) == [("deleted", "d", "/b"), ("new", "f", "/a/é"), ("new", "f", "/a/é")]
+    for n in (1, 2):
+        at = sinks.write_statistics(spark.createDataFrame([("f", n)], "kind string, count long"), str(tmp_path), "verify")
+    assert [r["count"] for r in spark.read.json(at).collect()] == [2] and at.endswith("/verify_stats")
+    sinks.append_audit(spark.createDataFrame([("t", "::1", "me", "list")], "stamp string, address string, client string, command string"), str(tmp_path / "audit"))
+    assert spark.read.text(str(tmp_path / "audit")).where("client = 'me'").first()["value"] == "t ::1 me list"
+
+
+def test_snapshots_and_timer(spark):
+    known = spark.createDataFrame([("a", 1), ("b", 1)], "client string, x long")
+    now = spark.createDataFrame([("b", 2), ("c", 2)], "client string, x long")
+    assert sorted(map(tuple, monitor.merge_snapshots(known, now, ["client"]).collect())) == [("b", 2, False), ("c", 2, True)]
+    seen = []
+    query = monitor.recheck(spark, lambda: known, lambda df: seen.append(df.count()), 1)
+    query.processAllAvailable()
+    query.stop()
+    assert seen and set(seen) == {2}
