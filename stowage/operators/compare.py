@@ -6,10 +6,11 @@ joins are equality joins, so one client or one huge generation spreads over all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.paths import kind_class, path_key
+from stowage.sources.shared import cut
 
 VOLUME = ["v", "V", "u", "U"]
 DATA = ["f", "y", "m", "n", "k"]
@@ -119,6 +120,19 @@ def in_order(df: DataFrame, *more: Column) -> DataFrame:
     return df.orderBy(path_key(F.col("path")), *more)
 
 
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "n") -> DataFrame:
+    """Rows with their number, from 1, within ``by`` in an order: a range-partitioned sort, plus how many rows earlier partitions hold.
+
+    No window over the rows: a value of ``by`` with most of all rows spreads over partitions as well.
+    """
+    keys = [F.col(c) for c in by] + order
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")))
+    parts = placed.groupBy(*by, "_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")  # a row for each partition
+    found = placed.join(parts.select(*by, "_p", "_first", before.alias("_before")), [*by, "_p"])
+    return found.select(*df.columns, (F.col("_i") - F.col("_first") + F.col("_before") + 1).alias(name))
+
+
 def apply_deletions(manifest: DataFrame, deletions: DataFrame) -> DataFrame:
     keys = deletions.select("path", kind_class(F.col("kind")).alias("_class")).distinct()
     return manifest.withColumn("_class", kind_class(F.col("kind"))).join(keys, ["path", "_class"], "left_anti").select(*manifest.columns)

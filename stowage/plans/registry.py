@@ -213,7 +213,7 @@ def hardlink_substitution(spark, sf_dir):
 
 @query(f"{_inv(1)} SELECT path, row_number() OVER (PARTITION BY kind ORDER BY translate(path, '/', chr(1))) AS n FROM e1")
 def path_order(spark, sf_dir):
-    return entries(spark, sf_dir, 1).select("path", F.row_number().over(Window.partitionBy("kind").orderBy(paths.path_key(F.col("path")))).cast("long").alias("n"))
+    return compare.numbered(entries(spark, sf_dir, 1).select("path", "kind"), ["kind"], [paths.path_key(F.col("path"))]).select("path", "n")
 
 
 @query(f"{_inv(1)} SELECT path, CASE WHEN starts_with(path, '/src1/') THEN 2 ELSE 0 END AS depth, NOT (starts_with(path, '/src1/en/')) AS outside FROM e1")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stowage.sources.shared import shared_dir
+
 
 def status(events: DataFrame) -> DataFrame:
     """Status rows (client, pid, phase, ts, event_id) of an event table or stream."""
@@ -31,7 +33,7 @@ def run_once(spark: SparkSession, path: str, checkpoint: str | None = None, max_
 
     Each micro-batch writes the keys it changed; the table keeps the newest row of each key.
     """
-    out = checkpoint or f"{spark.conf.get('spark.checkpoint.dir', None) or _own_dir(spark)}/monitor-{uuid.uuid4().hex}"
+    out = checkpoint or f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
     stream = source(spark, path, max_files)
 
     def write(batch: DataFrame, number: int) -> None:
@@ -43,18 +45,6 @@ def run_once(spark: SparkSession, path: str, checkpoint: str | None = None, max_
     return changes.groupBy("client", "pid").agg(F.max_by(F.struct("phase", "ts"), "batch").alias("s")).select("client", "pid", "s.phase", "s.ts")
 
 
-def _own_dir(spark: SparkSession) -> str:
-    """A folder that executors share, where the session names none: a temporary one in local mode, else one in the warehouse."""
-    if spark.sparkContext.master.startswith("local"):
-        import tempfile
-
-        made = "file://" + tempfile.mkdtemp(prefix="spark-stowage-")
-    else:
-        made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stowage"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -94,7 +84,7 @@ def source(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
 
 
 def _target(spark: SparkSession, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or _own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def append_log(stream: DataFrame, path: str | None = None, delay: str = "1 hour", time_col: str = "ts") -> DataFrame:
