@@ -6,8 +6,6 @@ operator compares the bytes or the full sets afterwards, or uses 128 bits.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from stowage.sources.shared import cut, forget  # noqa: F401  every operator's modules take them from here
+
 #: Bytes of text that one vectorised step works on; bounds the memory of a task.
 SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch, beyond its first row; Spark's own bound is 64 MB for each of several copies.
@@ -34,40 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.
-
-    Where the session names none, a temporary folder in local mode, and else one in the warehouse,
-    which executors share as well.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local"):
-            found = "file://" + tempfile.mkdtemp(prefix="spark-stowage-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stowage_cuts"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df into the shared folder and read it back, so that lost executors cost no recomputation of what lies before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.cut_path = path
-    return found
-
-
-def forget(*frames: DataFrame) -> None:
-    """Delete the files of frames that ``cut`` returned, once all that reads them has been written."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow, one generator call for each batch; batches without rows are skipped.
 
