@@ -208,6 +208,12 @@ class Stream:
         self.frames = -(-self.samples // self.block)
 
 
+def _explicit(code: np.ndarray) -> np.ndarray:
+    """Bytes of a block size and a sample rate that follow the frame number, by the third byte of the header."""
+    size, rate = code >> 4, code & 15
+    return np.where(size == 6, 1, np.where(size == 7, 2, 0)) + np.where(rate == 12, 1, np.where((rate == 13) | (rate == 14), 2, 0))
+
+
 def _frame_starts(data: bytes, info: Stream) -> np.ndarray:
     """Byte of each frame: from the seek points if they are complete, else by headers that check and count on."""
     if len(info.points) == info.frames and (info.points[:, 0] == np.arange(info.frames) * info.block).all():
@@ -219,8 +225,8 @@ def _frame_starts(data: bytes, info: Stream) -> np.ndarray:
             at = data.find(b"\xff\xf8", at)
             if at < 0:
                 raise ValueError("a frame is missing")
-            m = 4 + len(code)
-            if data[at + 4 : at + m] == code and at + m < len(data) and crc8(np.frombuffer(data, np.uint8, m, at)[None, :], np.array([m]))[0] == data[at + m]:
+            m = 4 + len(code) + int(_explicit(np.uint8(data[at + 2] if at + 2 < len(data) else 0)))
+            if data[at + 4 : at + 4 + len(code)] == code and at + m < len(data) and crc8(np.frombuffer(data, np.uint8, m, at)[None, :], np.array([m]))[0] == data[at + m]:
                 break
             at += 1
         out.append(at)
@@ -245,10 +251,8 @@ def decode_samples(streams: list[bytes]) -> list[np.ndarray]:
 
     lead = data[start + 4]
     width = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC, lead < 0xFE], [1, 2, 3, 4, 5, 6], 7)
-    code = data[start + 2] >> 4
-    more = np.where(code == 6, 1, np.where(code == 7, 2, 0))  # explicit block size
-    head = 4 + width + more
-    rows = data[start[:, None] + np.arange(14)]
+    head = 4 + width + _explicit(data[start + 2])
+    rows = data[start[:, None] + np.arange(16)]
     if ((rows[:, 0] != 0xFF) | (rows[:, 1] != 0xF8) | (crc8(rows, head) != rows[np.arange(len(rows)), head])).any():
         raise ValueError("a frame header's checksum is wrong")
     value = np.where(width == 1, lead, lead & (0xFF >> (width + 1))).astype(np.int64)
@@ -302,7 +306,7 @@ def decode_samples(streams: list[bytes]) -> list[np.ndarray]:
         method, parts = take(rice, 2).astype(np.int64), 1 << take(rice, 4).astype(np.int64)
         if (method > 1).any():
             raise ValueError("a reserved residual coding")
-        each = block // parts
+        each = np.maximum(length[rice] // parts, 1)
         k = np.zeros(len(rice), np.int64)
         for i in range(block):
             begin = (i % each == 0) | (i == 0)
