@@ -19,6 +19,8 @@ from stowage.sources.shared import cut, forget  # noqa: F401  every operator's m
 SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch, beyond its first row; Spark's own bound is 64 MB for each of several copies.
 BATCH_BYTES = 4 << 20
+#: Rows that a Parquet reader holds at a time.
+READ_ROWS = 512
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -37,9 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow, one generator call for each batch; batches without rows are skipped.
 
-    Sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` to BATCH_BYTES.
+    Sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` to BATCH_BYTES, and
+    ``spark.sql.parquet.columnarReaderBatchSize`` to READ_ROWS: thousands of long texts are no batch.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
     def run(batches):
         for batch in batches:
