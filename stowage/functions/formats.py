@@ -27,13 +27,13 @@ def human_bytes(n: Column) -> Column:
 
 
 def time_taken(seconds: Column) -> Column:
-    """d:hh:mm:ss without leading parts that are 0, but at least mm:ss."""
+    """dd:hh:mm:ss without leading parts that are 0, but at least mm:ss; more digits of days where they need them."""
     s = seconds.cast("long")
     d, h, m = F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     tail = F.concat(two(m), F.lit(":"), two(s % 60))
     hours = F.concat(two(h), F.lit(":"), tail)
-    return F.when(d > 0, F.concat(d.cast("string"), F.lit(":"), hours)).when(h > 0, hours).otherwise(tail)
+    return F.when(d > 0, F.concat(F.format_string("%02d:", d), hours)).when(h > 0, hours).otherwise(tail)
 
 
 def interval_seconds(text: Column) -> Column:
@@ -55,6 +55,26 @@ def stamp_seconds(text: Column) -> Column:
     return F.when(text.contains(" "), F.coalesce(F.unix_timestamp(moment), F.lit(0))).otherwise(0)
 
 
+def date_or_never(seconds: Column) -> Column:
+    """Local date and time of a number of seconds; "never" for 0 or null."""
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, "never").otherwise(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"))
+
+
+def list_line(path: Column, kind: str = "short", link: Column | None = None, **stat: Column) -> Column:
+    """Line of a listed entry: its path; "parseable", as the frame of a file; or "long", with mode, links, owners, size and time.
+
+    A long line needs mode, nlink, uid, gid, size and mtime, and ends in " -> link" where there is one.
+    """
+    if kind == "short":
+        return path
+    if kind == "parseable":
+        return F.concat(F.lit("f"), F.lpad(F.hex(F.octet_length(path).cast("long")), 4, "0"), path)
+    number = lambda name: stat[name].cast("long")
+    head = F.format_string("%s %2d %5d %5d %7d ", mode_string(stat["mode"]), number("nlink"), number("uid"), number("gid"), number("size"))
+    line = F.concat(head, F.date_format(F.timestamp_seconds(stat["mtime"]), "yyyy-MM-dd HH:mm:ss"), F.lit(" "), path)
+    return line if link is None else F.concat(line, F.coalesce(F.concat(F.lit(" -> "), link), F.lit("")))
+
+
 def stamp(bno: Column, moment: Column) -> Column:
     return F.concat(F.lpad(bno.cast("string"), 7, "0"), F.lit(" "), F.date_format(moment, "yyyy-MM-dd HH:mm:ss"))
 

@@ -117,10 +117,14 @@ def in_timeband(moment: Column, bands: list[str]) -> Column:
     return out
 
 
-def due(latest: DataFrame, now: Column, interval: int, bands: list[str]) -> DataFrame:
-    """Whether a backup is due: the moment is in a band, and the last one is missing or older than the interval (seconds)."""
+def due(latest: DataFrame, now: Column, interval: int, bands: list[str], manual: DataFrame | None = None) -> DataFrame:
+    """Whether a backup is due: the moment is in a band, and the last one is missing or older than the interval (seconds); always for clients in ``manual``, which asked for one."""
     old = F.col("last").isNull() | (F.unix_timestamp("last") + interval < F.unix_timestamp(now))
-    return latest.withColumn("due", in_timeband(now, bands) & old)
+    if manual is None:
+        return latest.withColumn("due", in_timeband(now, bands) & old)
+    asked = manual.select("client", F.lit(True).alias("_asked")).distinct()
+    joined = latest.join(asked, "client", "left")
+    return joined.select(*latest.columns, (F.coalesce("_asked", F.lit(False)) | (in_timeband(now, bands) & old)).alias("due"))
 
 
 def latest(backups: DataFrame, *keep: str) -> DataFrame:

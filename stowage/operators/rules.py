@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.functions.kinds import FILE_SYSTEMS
 from stowage.functions.paths import ancestors, basename, extension, subdir_depth
 
 _CLASSES = {"[:alpha:]": r"\p{Alpha}", "[:digit:]": r"\d", "[:alnum:]": r"\p{Alnum}", "[:upper:]": r"\p{Upper}", "[:lower:]": r"\p{Lower}", "[:space:]": r"\s", "[:punct:]": r"\p{Punct}"}
@@ -188,6 +189,16 @@ def descended(entries: DataFrame, patterns: list[str], ignore_case: bool = False
     return below_none(entries.where(found), closed)
 
 
+def without_file_systems(entries: DataFrame, names: list[str]) -> DataFrame:
+    """Entries on other file systems than these, by name or as 0x... (column fs, a magic number): what is mounted there isn't descended into, its folder stays."""
+    numbers = [int(n, 16) if n.lower().startswith("0x") else FILE_SYSTEMS.get(n, 0) for n in names]
+    there = F.col("fs").isin(numbers)
+    up = F.when(F.instr(F.substr("path", F.lit(2)), "/") == 0, F.lit("/")).otherwise(F.regexp_replace("path", "/[^/]*$", ""))
+    parents = entries.where("kind = 'd'").select(F.col("path").alias("_parent"), F.col("fs").alias("_fs"))
+    mounts = entries.where(there & (F.col("kind") == "d")).withColumn("_parent", up).join(parents, "_parent", "left").where("_fs is null or fs <> _fs").select(F.col("path").alias("_dir")).distinct()
+    return below_none(entries, mounts)
+
+
 def start_folders(includes: DataFrame) -> DataFrame:
     """path, is_start and copies of each included path: the others lie below a start and are only crossed into. copies over 1 is an error of the rules."""
     rows = includes.groupBy("path").agg(F.count("*").alias("copies"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import codec, formats, kinds
 from stowage.operators import browse, catalog, clients, compare, contents, lifecycle, rules
-from stowage.plans.registry import _B, _bytes, _inv, _joined, compare_rows, query
+from stowage.plans.registry import _B, _bytes, _inv, _joined, _rwx, compare_rows, query
 from stowage.sources import sinks
 from stowage.plans.views import backups, entries, entries_sql, table
 
@@ -133,12 +133,15 @@ def glob_includes(spark, sf_dir):
 _TREE = "SELECT concat('/', source, '/', lang, '/d', CAST(doc_id % 9 AS STRING)) AS path, 'd' AS kind FROM documents UNION SELECT concat('/', source, '/', lang, '/d', CAST(doc_id % 9 AS STRING), '/', CAST(doc_id AS STRING)) AS path, 'f' AS kind FROM documents"
 
 
-@query(f"SELECT path, kind FROM ({_TREE}) WHERE regexp_matches(path, 'd[1-5]|7$') AND regexp_matches(regexp_extract(path, '^/[^/]*/[^/]*/d.'), 'd[1-5]|7$')")
-def regex_descent(spark, sf_dir):
+def _tree(spark, sf_dir):
     folder = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/d"), (F.col("doc_id") % 9).cast("string"))
     d = _docs(spark, sf_dir)
-    tree = d.select(folder.alias("path"), F.lit("d").alias("kind")).union(d.select(F.concat(folder, F.lit("/"), F.col("doc_id").cast("string")), F.lit("f"))).distinct()
-    return rules.descended(tree, ["d[1-5]|7$", "(broken"])
+    return d.select(folder.alias("path"), F.lit("d").alias("kind")).union(d.select(F.concat(folder, F.lit("/"), F.col("doc_id").cast("string")), F.lit("f"))).distinct()
+
+
+@query(f"SELECT path, kind FROM ({_TREE}) WHERE regexp_matches(path, 'd[1-5]|7$') AND regexp_matches(regexp_extract(path, '^/[^/]*/[^/]*/d.'), 'd[1-5]|7$')")
+def regex_descent(spark, sf_dir):
+    return rules.descended(_tree(spark, sf_dir), ["d[1-5]|7$", "(broken"])
 
 
 # Life cycle
@@ -392,6 +395,25 @@ def allowed_addresses(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", formats.allowed(address, ["10.1.2.128/25", "192.168.0.0/16", "2001:db8::/32"]).alias("ok"))
 
 
+@query(f"""{_inv(1)} SELECT path, CASE mode & 61440 WHEN 16384 THEN 'd' WHEN 40960 THEN 'l' ELSE '-' END{_rwx(6)}{_rwx(3)}{_rwx(0)} || printf(' %2d %5d %5d %7d ', nlink, dev, ino, size) || strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d %H:%M:%S') || ' ' || path AS long,
+  'f' || printf('%04X', strlen(path)) || path AS parseable FROM e1""")
+def list_lines(spark, sf_dir):
+    e, c = entries(spark, sf_dir, 1), F.col
+    return e.select("path", formats.list_line(c("path"), "long", mode=c("mode"), nlink=c("nlink"), uid=c("dev"), gid=c("ino"), size=c("size"), mtime=c("mtime")).alias("long"), formats.list_line(c("path"), "parseable").alias("parseable"))
+
+
+@query(_B + " SELECT client, max(ts) AS last, client % 5 = 0 AS due FROM b GROUP BY client")
+def timer_manual(spark, sf_dir):
+    last = backups(spark, sf_dir).groupBy("client").agg(F.max("ts").alias("last"))
+    return catalog.due(last, F.lit("2026-01-01 03:30:00").cast("timestamp"), 86400, ["Mon,04"], last.where("client % 5 = 0"))
+
+
+@query(f"SELECT path, kind FROM ({_TREE}) WHERE NOT (kind = 'f' AND regexp_matches(path, '/d[25]/'))")
+def excluded_file_systems(spark, sf_dir):
+    fs = F.when(F.col("path").rlike("/d[2](/|$)"), 0x6969).when(F.col("path").rlike("/d5(/|$)"), 0xFFF1).otherwise(0xEF53)
+    return rules.without_file_systems(_tree(spark, sf_dir).withColumn("fs", fs), ["nfs", "0xFFF1"]).select("path", "kind")
+
+
 # Streams
 
 

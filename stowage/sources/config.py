@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,14 @@ def parse_line(line: str) -> tuple[str, str, bool] | None:
     return m[1], value, m[2] == ":="
 
 
-def parse(text: str) -> dict[str, list[str]]:
-    """All values of each key, in order."""
+def parse(text: str, read: Callable[[str], str] | None = None) -> dict[str, list[str]]:
+    """All values of each key, in order. A line ". path" stands for the text of another file, which ``read`` returns."""
     out: dict[str, list[str]] = {}
     for line in text.splitlines():
-        if found := parse_line(line):
+        if read and (named := re.match(r"\s*\.\s+(\S.*?)\s*$", line)):
+            for key, values in parse(read(named[1]), read).items():
+                out[key] = [*out.get(key, []), *values]
+        elif found := parse_line(line):
             key, value, reset = found
             out[key] = [value] if reset else [*out.get(key, []), value]
     return out

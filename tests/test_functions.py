@@ -53,7 +53,7 @@ def test_values(spark):
     cases = [
         (formats.human_bytes(F.lit(1536)), " (1.50 KB)"),
         (formats.human_bytes(F.lit(10)), ""),
-        (formats.time_taken(F.lit(93784)), "1:02:03:04"),
+        (formats.time_taken(F.lit(93784)), "01:02:03:04"),
         (formats.time_taken(F.lit(61)), "01:01"),
         (formats.interval_seconds(F.lit("2n")), 5184000),
         (formats.interval_seconds(F.lit("2x")), None),

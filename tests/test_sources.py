@@ -48,6 +48,7 @@ def test_config(spark):
     assert got == {"port": ["4971"], "include": ["/a", "/b c"], "keep": ["7"]}
     assert config.overlay(got, {"include": ["/z"]}, frozenset({"include"}))["include"] == ["/a", "/b c", "/z"]
     assert config.as_rows(spark, got).count() == 4
+    assert config.parse("a = 1\n. more\na = 3", {"more": "a = 2\nb = 4"}.__getitem__) == {"a": ["1", "2", "3"], "b": ["4"]}
     with pytest.raises(ValueError):
         config.parse("what")
 
