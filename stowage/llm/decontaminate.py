@@ -6,13 +6,13 @@ alignment reaches ``least`` of what the item itself would get.
 
 Seeds only save alignments, they never decide. An alignment that reaches ``least`` matches at least
 need = least * size of an item's size words, so at least HITS of any size - need + HITS of them. The
-seeds of an item are that many of its words, those that stand in the fewest documents: words that an
-edit made up stand in none and cost nothing. Longer n-grams can't be asked for: a copy with every
-third word replaced shares no trigram and aligns at over 0.5. Each word of the document inside an
-alignment is matched or costs GAP; so a stretch with h seeds can hold an alignment only if its length
-leaves (MATCH + GAP) * (h + need - HITS) - GAP * length at least, and then only if its words that
-stand in the item at all weigh enough. What is left is aligned; the rows are those of aligning every
-document with every item.
+seeds of an item are that many of its words, those that stand in the fewest documents times items:
+words that an edit made up stand in no document and cost nothing, and a template's words come last.
+Longer n-grams can't be asked for: a copy with every third word replaced shares no trigram and aligns
+at over 0.5. Each word of the document inside an alignment is matched or costs GAP; so a stretch with
+h seeds can hold an alignment only if its length leaves (MATCH + GAP) * (h + need - HITS) -
+GAP * length at least, and then only if its words that stand in the item at all weigh enough. What is
+left is aligned; the rows are those of aligning every document with every item.
 
 The items are joined by broadcasting their seeds and words, MAX_WORDS words at a time: a larger
 benchmark takes several passes over the documents, never a larger broadcast.
@@ -98,9 +98,12 @@ class Items:
     def choose(self, counts: dict[int, int]) -> None:
         """Seeds: word hashes, with the items in which each stands."""
         seeds = [np.zeros(0, _U)]
+        word, items = np.unique(np.concatenate([*self.known, np.zeros(0, _U)]), return_counts=True)
         for k, x in enumerate(self.word):
             df = np.array([counts.get(int(h), 0) for h in x.astype(np.int64)], np.int64)
-            rare = np.argsort(df, kind="stable")[: self.size[k] - self.need[k] + self.hits[k]]
+            # Each place of a seed meets every item that has it: a template's words cost most.
+            cost = df * items[np.searchsorted(word, x)]
+            rare = np.argsort(cost, kind="stable")[: self.size[k] - self.need[k] + self.hits[k]]
             seeds.append(np.unique(x[rare[df[rare] > 0]]))
         seed = np.concatenate(seeds)
         item = np.repeat(np.arange(len(self.word)), [len(x) for x in seeds[1:]])
