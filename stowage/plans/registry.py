@@ -299,7 +299,15 @@ def retention_keep7(spark, sf_dir):
     return catalog.retain(backups(spark, sf_dir), [7]).select("client", "bno")
 
 
-@query()
+#: Passes as a recursion: each deletes what may go of the ranges of 7 up to 35, but one of a range, and the oldest beyond 35.
+_RETAIN = f"""WITH RECURSIVE b AS ({BACKUPS_SQL}), p AS (SELECT 0 AS pass, client, bno FROM b UNION ALL SELECT pass + 1, client, bno FROM (SELECT *, sum(dead) OVER (PARTITION BY client) AS n_dead FROM (
+  SELECT *, CASE WHEN tr > 7 AND tr <= 35 AND free AND tr % 7 <> 0 AND row_number() OVER (PARTITION BY client, part, free AND tr % 7 <> 0 ORDER BY tr) < inside THEN 1 WHEN is_oldest AND tr > 35 THEN 1 ELSE 0 END AS dead FROM (
+  SELECT *, count(*) OVER (PARTITION BY client, part) AS inside FROM (SELECT *, (tr + 6) // 7 AS part FROM (
+  SELECT pass, client, bno, max(bno) OVER (PARTITION BY client) - bno + 1 AS tr, coalesce((lag(bno) OVER (PARTITION BY client ORDER BY bno) - 1) % 7 = 0, TRUE) AS free, bno = min(bno) OVER (PARTITION BY client) AS is_oldest FROM p))))) WHERE n_dead > 0 AND dead = 0)
+  SELECT client, bno FROM p WHERE (client, pass) IN (SELECT (client, max(pass)) FROM p GROUP BY client)"""
+
+
+@query(_RETAIN)
 def retention_keep_7_4(spark, sf_dir):
     return catalog.retain(catalog.hardlinked(backups(spark, sf_dir), [7, 4]), catalog.normal_keeps([7, 4])).select("client", "bno")
 
