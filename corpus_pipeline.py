@@ -4,6 +4,13 @@ Toxic documents go; of each group of near duplicates one stays; passages that st
 are removed from the texts; documents that hold benchmark items go; what is left is encoded.
 ``run`` applies the stages in one session; each takes (spark, docs, sf_dir) and returns a DataFrame,
 and all but the last return the columns of ``documents``.
+
+Cases, by stage. Null and empty texts: kept by each (toxicity scores them like a text without any
+feature), encoded to no tokens at last. Null ids: kept by each; they are nobody's near duplicate.
+Repeated rows: one stays after ngram_jaccard, a row of each text if an id has several. Very long
+texts: read whole. Ties: the smallest doc_id of a group stays. Labels of one class or none: toxicity
+rejects nothing. Empty tables: every stage returns an empty table. Further columns of any name are
+kept to the end of decontamination.
 """
 
 from __future__ import annotations
