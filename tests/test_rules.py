@@ -126,3 +126,13 @@ def test_ordering_and_visibility(spark):
     grants = spark.createDataFrame([("two", "one")], "client string, name string")
     assert {r["client"] for r in clients.permitted(known, "one", grants).collect()} == {"one", "two"}
     assert {r["client"] for r in clients.permitted(known, "one", grants, pretends=True).collect()} == {"one"}
+
+
+def test_numbers_within_a_hot_group(spark):
+    rows = [("hot" if i % 10 else f"c{i}", (i * 7919) % 5000) for i in range(5000)]
+    df = spark.createDataFrame(rows, "kind string, x long").repartition(5)
+    got = {(r["kind"], r["x"]): r["n"] for r in compare.numbered(df, ["kind"], [F.col("x")]).collect()}
+    want = {}
+    for kind in {k for k, _ in rows}:
+        want |= {(kind, x): n for n, x in enumerate(sorted(x for k, x in rows if k == kind), 1)}
+    assert got == want
