@@ -14,6 +14,7 @@ tokenizers = pytest.importorskip("tokenizers")
 import public_tokenizers  # noqa: E402
 
 from stowage.llm import bpe_codec, decontaminate, flac, html_text, jaccard, langid, licenses, oracles, queries, suffixes, token_counts, toxicity  # noqa: E402
+from stowage.llm.components import components  # noqa: E402
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sigma tau".split()
 CLASH = "features prediction score predicted _text _keep label margin rawPrediction probability _id id n gid a b tok kept n_bytes n_removed n_spans kept_text ranges _k1 _k2 lang_pred spans held_out page component_id n_shingles item_id ids n_tokens media feature licenses dice".split()
@@ -50,6 +51,19 @@ def test_names_repeated_rows_nulls_and_empty_tables(spark, operator):
     assert operator(clashing(spark, [])).count() == 0
 
 
+def test_components_of_random_links(spark):
+    r = random.Random(6)
+    for n, m in [(1, 0), (60, 40), (200, 260)]:
+        links = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(None, 1)]
+        own = list(range(n))
+        for _ in range(n):
+            for a, b in links[:-1]:
+                own[a] = own[b] = min(own[a], own[b])
+        linked = {x for a, b in links[:-1] if a != b for x in (a, b)}
+        got = {x["node"]: x["component"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == {x: own[x] for x in linked}
+
+
 def test_toxicity_cases(spark):
     r = random.Random(3)
     rows = [(i, " ".join(r.choices(WORDS, k=20)) + (" you idiot" if i % 2 else "")) for i in range(80)] + [(None, "you idiot"), (1, "another text")]
