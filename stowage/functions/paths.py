@@ -93,5 +93,18 @@ def url_path(url: Column) -> Column:
     return F.regexp_replace(url, r"^[a-z]+://|[?#].*$", "")
 
 
+def restore_target(prefix: str, path: Column) -> Column:
+    """Where an entry is restored below a prefix; null for a path whose dot components would leave it."""
+    steps = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    depth = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")), lambda d, p: F.struct((d["now"] + F.when(p == "..", -1).otherwise(1)).alias("now"), F.least(d["least"], d["now"] + F.when(p == "..", -1).otherwise(1)).alias("least")))
+    return F.when(depth["least"] >= 0, join_paths(F.lit(prefix), path))
+
+
+def swap_in_data_path(datapth: Column, old: str, new: str) -> Column:
+    """Data path of a tree backup with its file's prefix swapped: after the leading t, the path stands as it is."""
+    inner = swap_prefix(F.substr(datapth, F.lit(2)), old, new)
+    return F.when(datapth.startswith("t/"), F.concat(F.lit("t"), inner)).otherwise(datapth)
+
+
 def too_long(path: Column, total: int = 4096, component: int = 255) -> Column:
     return (F.octet_length(path) > total) | F.exists(F.split(path, "/"), lambda p: F.octet_length(p) > component)

@@ -33,6 +33,25 @@ def shared_contents(files: DataFrame) -> DataFrame:
     return files.where("size > 0").groupBy("grp", "size", F.md5("content").alias("md5")).agg(F.count("*").alias("files")).where("files > 1")
 
 
+def selected(clients: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """Clients (column client, text) but for those that an exclude expression matches whole and no include expression does."""
+    match = lambda names: any_regex(F.col("client"), [f"^(?:{n})$" for n in names or []], empty=False)
+    return clients.where(~match(exclude) | match(include))
+
+
+def parallel(children: DataFrame, limit: int) -> DataFrame:
+    """running, and whether one more child may start: children in scanning or backup under the limit, 0 is none (column phase)."""
+    busy = F.sum(F.col("phase").isin("scanning", "backup").cast("long"))
+    running = children.agg(F.coalesce(busy, F.lit(0)).alias("running"))
+    return running.withColumn("free", F.lit(limit == 0) | (F.col("running") < limit))
+
+
+def last_warnings(logs: DataFrame) -> DataFrame:
+    """client, line and text of the warnings in the log of each client's current backup (columns client, bno, line, text)."""
+    current = logs.groupBy("client").agg(F.max("bno").alias("bno"))
+    return logs.where(F.col("text").contains("WARNING")).join(current, ["client", "bno"], "left_semi").select("client", "line", "text")
+
+
 def log_counts(logs: DataFrame, patterns: list[str]) -> DataFrame:
     """log, n and hits: the lines of each log, and those in which one of the patterns is found (columns log, text)."""
     hit = any_regex(F.col("text"), patterns, empty=False).cast("int")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.functions.codec import endfile_size
+from stowage.functions.formats import kind_name
 from stowage.functions.paths import kind_class, path_key
 from stowage.sources.shared import cut
 
@@ -169,6 +171,24 @@ def byte_sums(manifest: DataFrame, by: list[str]) -> DataFrame:
     return manifest.groupBy(*by).agg(F.sum(F.when(F.col("kind").isin("f", "y", "k"), F.col("size")).otherwise(0)).cast("long").alias("estimated"), F.count("*").alias("entries"))
 
 
+def stored_bytes(manifest: DataFrame, by: list[str]) -> DataFrame:
+    """Bytes by the end lines of new, changed and unchanged entries (column endfile), and the estimate from their sizes."""
+    estimated = F.sum(F.when(F.col("kind").isin("f", "y", "k"), F.col("size")).otherwise(0)).cast("long")
+    return manifest.groupBy(*by).agg(F.sum(endfile_size(F.col("endfile"))).alias("bytes"), estimated.alias("estimated"))
+
+
+def fails_on_warning(counts: DataFrame) -> DataFrame:
+    """failed: whether there was a warning (columns kind, count)."""
+    return counts.agg((F.coalesce(F.sum(F.when(F.col("kind") == "w", F.col("count"))), F.lit(0)) > 0).alias("failed"))
+
+
+def report_lines(counts: DataFrame) -> DataFrame:
+    """kind and line of the printed report: a name and six columns of numbers, of ``report`` rows."""
+    name = F.coalesce(kind_name(F.col("kind")), F.when(F.col("kind") == "Z", "grand total"), F.col("kind"))
+    numbers = [F.col(c) for c in ("new", "changed", "same", "deleted", "total", "scanned")]
+    return report(counts).select("kind", F.format_string("%22s:" + " %9d" * len(numbers), name, *numbers).alias("line"))
+
+
 def quota(sums: DataFrame, hard: int, soft: int) -> DataFrame:
     """State of each estimate: hard, soft or ok; a limit of 0 is off."""
     over = lambda limit: (F.col("estimated") > limit) if limit else F.lit(False)

@@ -104,6 +104,10 @@ def hard_links(entries: DataFrame) -> DataFrame:
     The first comes from an aggregate that joins back, so that an inode with very many links isn't one task.
     """
     linked = (F.col("nlink") > 1) & ~F.col("kind").isin("d", "l")
+    # A path that a scan meets twice is one entry, the one it met first.
+    names = entries.columns
+    rest = [c for c in names if c not in ("path", "scan_order")]
+    entries = entries.groupBy("path").agg(F.min("scan_order").alias("scan_order"), F.min_by(F.struct(*rest), "scan_order").alias("_e")).select("path", "scan_order", "_e.*").select(*names)
     first = entries.where(linked).groupBy("dev", "ino").agg(F.min(F.struct("scan_order", "path")).alias("m")).select("dev", "ino", F.col("m.path").alias("_master"))
     joined = entries.join(first, ["dev", "ino"], "left")
     later = linked & (F.col("path") != F.col("_master"))
@@ -186,3 +190,25 @@ def fold(latest: DataFrame, deltas: dict[int, DataFrame], wanted: int, block: in
         made = patch(now, deltas[bno], block)
         now = made.unionByName(now.join(made.select("id"), "id", "left_anti"))
     return now
+
+
+def dedupable(files: DataFrame) -> DataFrame:
+    """Files that a search for duplicates looks at (columns path below the storage, kind, size): regular, not empty, no locks, unfinished or deleted backups at the first level and no logs at the second."""
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    first, second = F.get(parts, 0), F.get(parts, 1)
+    skipped = first.isin("working", "finishing", "deleteme") | first.startswith("lock") | (F.coalesce(second.startswith("log"), F.lit(False)))
+    return files.where((F.col("kind") == "f") & (F.col("size") > 0) & ~F.coalesce(skipped, F.lit(False)))
+
+
+def duplicates_by_device(files: DataFrame, unlink: bool = False) -> DataFrame:
+    """dev, size, md5, names, inodes, duplicates and saved of equal contents on one device (columns dev, ino, nlink, content, size).
+
+    Names of one inode are linked already: they are found but save nothing. A report counts the size
+    of each further inode; with ``unlink`` only of those all of whose links are among the names, as
+    others live on elsewhere.
+    """
+    hashed = files.where("size > 0").select("dev", "ino", "nlink", "size", F.md5("content").alias("md5"))
+    inodes = hashed.groupBy("dev", "size", "md5", "ino").agg(F.count("*").alias("names"), (F.count("*") >= F.max("nlink")).alias("whole"))
+    groups = inodes.groupBy("dev", "size", "md5").agg(F.sum("names").alias("names"), F.count("*").alias("inodes"), F.min(F.struct("ino", "whole")).alias("kept"), F.sum(F.col("whole").cast("long")).alias("whole")).where("names > 1")
+    gone = F.col("whole") - F.col("kept.whole").cast("long") if unlink else F.col("inodes") - 1
+    return groups.select("dev", "size", "md5", "names", "inodes", (F.col("inodes") - 1).alias("duplicates"), (gone * F.col("size")).alias("saved"))

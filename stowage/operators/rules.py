@@ -236,3 +236,24 @@ def glob_pattern(glob: str) -> str:
 def globbed(entries: DataFrame, globs: list[str]) -> DataFrame:
     """Distinct paths that one of the shell patterns names."""
     return entries.where(any_regex(F.col("path"), [glob_pattern(g) for g in globs], empty=False)).select("path").distinct()
+
+
+def by_extension(entries: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, top: list[str] | None = None) -> DataFrame:
+    """Entries that a scan with lists of extensions emits.
+
+    With an include list names without an extension go, with an exclude list alone they stay. Folders
+    are held to the rules as well, but are descended into whatever they say; the top folders are exempt.
+    """
+    path = F.col("path")
+    keep = F.lit(True)
+    if include:
+        keep = keep & extension_in(path, include)
+    if exclude:
+        keep = keep & ~extension_in(path, exclude)
+    return entries.where(keep | (path.isin(top) if top else F.lit(False)))
+
+
+def wanted(path: Column, kind: Column, listed: Column, prefixes: list[str], patterns: list[str], windows: bool = False) -> Column:
+    """Whether a restore takes an entry: in the list given, below an include of the server and found by a pattern; volume data only for Windows."""
+    out = listed & prefix_match(path, prefixes) & any_regex(path, patterns)
+    return out if windows else out & ~kind.isin("v", "V", "u", "U")

@@ -414,6 +414,70 @@ def excluded_file_systems(spark, sf_dir):
     return rules.without_file_systems(_tree(spark, sf_dir).withColumn("fs", fs), ["nfs", "0xFFF1"]).select("path", "kind")
 
 
+# Further rules
+
+
+@query(f"{_inv(1)} SELECT path FROM e1 WHERE (path LIKE '%.txt' OR path LIKE '%.gz') AND NOT path LIKE '%.log' OR path = '/src1/en/6'")
+def scan_extensions(spark, sf_dir):
+    return rules.by_extension(entries(spark, sf_dir, 1), ["txt", "GZ"], ["log"], ["/src1/en/6"]).select("path")
+
+
+@query(f"{_inv(1)} SELECT path, kind FROM e1 WHERE scan_order % 3 > 0 AND starts_with(path, '/src') AND regexp_matches(path, '[0-9]5')")
+def restore_wanted(spark, sf_dir):
+    return entries(spark, sf_dir, 1).where(rules.wanted(F.col("path"), F.col("kind"), F.expr("scan_order % 3 > 0"), ["/src"], ["[0-9]5"])).select("path", "kind")
+
+
+@query(f"{_inv(1)} SELECT path, CASE WHEN scan_order % 4 = 1 THEN NULL WHEN scan_order % 4 = 2 THEN '/target' || path || '/../x' ELSE '/target' || path END AS target, CASE WHEN starts_with(path, '/src1/') THEN 't/new' || substr(path, 6) ELSE 't' || path END AS datapth FROM e1")
+def restore_targets(spark, sf_dir):
+    from stowage.functions import paths
+
+    odd = F.expr("CASE scan_order % 4 WHEN 1 THEN concat('/a/../..', path) WHEN 2 THEN concat(path, '/../x') ELSE path END")
+    data = paths.swap_in_data_path(F.concat(F.lit("t"), F.col("path")), "/src1/", "/new/")
+    return entries(spark, sf_dir, 1).select("path", paths.restore_target("/target", odd).alias("target"), data.alias("datapth"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 8 NOT IN (0, 1, 2, 3, 4) AND n_chars > 0")
+def dedupable_files(spark, sf_dir):
+    names = F.expr("CASE doc_id % 8 WHEN 0 THEN 'working/a' WHEN 1 THEN 'lockfile' WHEN 2 THEN '0000001/log.gz' WHEN 3 THEN 'deleteme/x' WHEN 4 THEN '0000001/d' WHEN 5 THEN '0000001/data/log' ELSE '0000001/data/t' END")
+    d = _docs(spark, sf_dir).select("doc_id", names.alias("path"), F.expr("CASE WHEN doc_id % 8 = 4 THEN 'd' ELSE 'f' END").alias("kind"), F.col("n_chars").alias("size"))
+    return contents.dedupable(d).select("doc_id")
+
+
+@query("""WITH f AS (SELECT doc_id % 2 AS dev, doc_id - doc_id % 4 AS ino, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS nlink, n_chars AS size, md5(text) AS md5 FROM documents WHERE n_chars > 0),
+  i AS (SELECT dev, size, md5, ino, count(*) AS names, count(*) >= max(nlink) AS whole FROM f GROUP BY ALL)
+  SELECT dev, size, md5, CAST(sum(names) AS BIGINT) AS names, CAST(count(*) AS BIGINT) AS inodes, CAST(count(*) - 1 AS BIGINT) AS duplicates, CAST((sum(CAST(whole AS INTEGER)) - CAST(arg_min(whole, ino) AS INTEGER)) * size AS BIGINT) AS saved FROM i GROUP BY dev, size, md5 HAVING sum(names) > 1""")
+def dedup_by_device(spark, sf_dir):
+    d = _docs(spark, sf_dir).select((F.col("doc_id") % 2).alias("dev"), (F.col("doc_id") - F.col("doc_id") % 4).alias("ino"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END").alias("nlink"), F.col("text").cast("binary").alias("content"), F.col("n_chars").alias("size"))
+    return contents.duplicates_by_device(d, unlink=True)
+
+
+@query(f"{_inv(2)} SELECT kind, CAST(sum(size + 1) AS BIGINT) AS bytes, CAST(sum(CASE WHEN kind IN ('f','y','k') THEN size ELSE 0 END) AS BIGINT) AS estimated FROM e2 GROUP BY kind")
+def stored_bytes(spark, sf_dir):
+    e = entries(spark, sf_dir, 2).withColumn("endfile", codec.endfile(F.col("size") + 1, F.col("md5")))
+    return compare.stored_bytes(e, ["kind"])
+
+
+@query("SELECT count(*) FILTER (event_id % 3 = 0) > 0 AS failed FROM events")
+def fails_on_warning(spark, sf_dir):
+    return compare.fails_on_warning(log_counters(spark, sf_dir))
+
+
+@query("SELECT c_name AS client FROM customer WHERE NOT regexp_full_match(c_name, '.*[0-4]') OR regexp_full_match(c_name, '.*04')")
+def selected_clients(spark, sf_dir):
+    return clients.selected(table(spark, sf_dir, "customer").select(F.col("c_name").alias("client")), [".*04"], [".*[0-4]"])
+
+
+@query("SELECT CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS running, count(*) FILTER (event_type = 'click') < 100 AS free FROM events")
+def parallel_limit(spark, sf_dir):
+    return clients.parallel(table(spark, sf_dir, "events").select(F.expr("CASE WHEN event_type = 'click' THEN 'backup' ELSE 'idle' END").alias("phase")), 100)
+
+
+@query(_B + " SELECT client, CAST(k AS INTEGER) AS line, 'WARNING ' || CAST(k AS STRING) AS text FROM b, (SELECT unnest([1, 2]) AS k) WHERE bno = (SELECT max(bno) FROM b x WHERE x.client = b.client)")
+def current_warnings(spark, sf_dir):
+    b = backups(spark, sf_dir).select("client", "bno", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("line"))
+    return clients.last_warnings(b.withColumn("text", F.when(F.col("line") < 3, F.concat(F.lit("WARNING "), F.col("line").cast("string"))).otherwise("done")))
+
+
 # Streams
 
 

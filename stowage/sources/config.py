@@ -45,3 +45,14 @@ def overlay(base: dict[str, list[str]], own: dict[str, list[str]], append: froze
 def as_rows(spark: SparkSession, settings: dict[str, list[str]]) -> DataFrame:
     rows = [(k, i, v) for k, vs in settings.items() for i, v in enumerate(vs)]
     return spark.createDataFrame(rows, "key string, ord int, value string")
+
+
+def lines(settings: dict[str, list[str]], names: list[str]) -> list[str]:
+    """Lines "name = value" of the settings that one side sends to the other; lists have a line for each value."""
+    return [f"{name} = {value}" for name in names for value in settings.get(name, [])]
+
+
+def from_lines(sent: list[str], names: list[str]) -> dict[str, list[str]]:
+    """The settings in such lines; names that aren't to be sent are left out."""
+    found = parse("\n".join(sent))
+    return {name: found[name] for name in names if name in found}

@@ -136,3 +136,23 @@ def test_numbers_within_a_hot_group(spark):
     for kind in {k for k, _ in rows}:
         want |= {(kind, x): n for n, x in enumerate(sorted(x for k, x in rows if k == kind), 1)}
     assert got == want
+
+
+def test_report_lines(spark):
+    counts = spark.createDataFrame([("f", 1, 2, 3, 4, 6), ("d", 0, 0, 0, 5, 0)], "kind string, new long, changed long, same long, deleted long, scanned long")
+    got = compare.report_lines(compare.totals(counts)).orderBy("kind").collect()
+    assert [r["kind"] for r in got] == ["Y", "Z", "f"] and got[2]["line"].split() == ["file:", "1", "2", "3", "4", "6", "6"]
+
+
+def test_settings_sent(spark):
+    from stowage.sources import config
+
+    settings = {"include": ["/a", "/b c"], "port": ["1"], "secret": ["x"]}
+    sent = config.lines(settings, ["include", "port"])
+    assert sent == ["include = /a", "include = /b c", "port = 1"] and config.from_lines([*sent, "secret = y"], ["include", "port"]) == {"include": ["/a", "/b c"], "port": ["1"]}
+
+
+def test_a_path_met_twice_is_one_entry(spark):
+    df = spark.createDataFrame([("/a", "f", 1, 1, 2, 5), ("/a", "f", 1, 1, 2, 1), ("/b", "f", 1, 1, 2, 3)], "path string, kind string, dev long, ino long, nlink long, scan_order long")
+    got = {r["path"]: (r["kind"], r["link"]) for r in contents.hard_links(df.withColumn("link", F.lit(None).cast("string"))).collect()}
+    assert got == {"/a": ("f", None), "/b": ("L", "/a")}
