@@ -25,13 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import map_batches
+from .common import map_batches, resident, slices
 
 #: Words a Python worker keeps (about 300 bytes each); longer words are never kept.
 KEPT_WORDS, KEPT_CHARS = 200_000, 48
 #: Separators of str.split that the vocabulary's pattern takes for ordinary characters.
 _NOT_WHITE = re.compile("[\x1c-\x1f]")
-_codecs: dict[str, Codec] = {}
 
 
 def byte_letters() -> list[str]:
@@ -171,9 +170,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return resident(__name__, path, lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -183,8 +180,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     are ids_sha256 and decoded_sha256 instead (of decimal ids joined by one space, and of the
     UTF-8 text).
     """
-    from .common import slices
-
     def step(batch: pa.RecordBatch):
         c = codec(path)
         texts = [t or "" for t in batch.column(1).to_pylist()]

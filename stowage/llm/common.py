@@ -7,6 +7,7 @@ operator compares the bytes or the full sets afterwards, or uses 128 bits.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,11 @@ from stowage.sources.shared import cut, forget  # noqa: F401  every operator's m
 #: Bytes of text that one vectorised step works on; bounds the memory of a task.
 SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch, beyond its first row; Spark's own bound is 64 MB for each of several copies.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Rows that a Parquet reader holds at a time.
 READ_ROWS = 512
 
+T = TypeVar("T")
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -46,6 +48,8 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.Reco
     df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
     def run(batches):
+        if _resident and _resident[0][0] != step.__module__:
+            _resident.clear()
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
@@ -54,6 +58,16 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+_resident: list = []
+
+
+def resident(module: str, key: object, make: Callable[[], T]) -> T:
+    """What make() returns, which a Python worker keeps from task to task: one such object, until a task of another module begins."""
+    if not _resident or _resident[0] != (module, key):
+        _resident[:] = [(module, key), make()]
+    return _resident[1]
+
+
 def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows with about ``most`` bytes each, one row at least."""
     start = total = 0

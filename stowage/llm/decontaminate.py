@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, slices, word_hashes, words
+from .common import cut, map_batches, resident, slices, word_hashes, words
 
 GRAM, LEAST = 3, 0.5
 MATCH, GAP = 2, 1
@@ -194,7 +194,7 @@ def matches(docs: DataFrame, items: DataFrame, n: int = GRAM, least: float = LEA
         shared = spark.sparkContext.broadcast(np.unique(np.concatenate(chosen.word)))
 
         def count(batch: pa.RecordBatch, shared=shared):
-            known = _kept(shared, lambda: Known(shared.value))
+            known = resident(__name__, ("words", shared), lambda: Known(shared.value))
             texts = batch.column(0).to_pylist()
             for a, b in slices([len(t or "") for t in texts]):
                 w = Words([normalised(t) for t in texts[a:b]])
@@ -214,7 +214,7 @@ def matches(docs: DataFrame, items: DataFrame, n: int = GRAM, least: float = LEA
 
         def search(batch: pa.RecordBatch, items_of=items_of):
             it = items_of.value
-            known = _kept(items_of, lambda: Known(it.seed))
+            known = resident(__name__, ("seeds", items_of), lambda: Known(it.seed))
             texts = batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts]):
                 got = []
@@ -231,16 +231,6 @@ def matches(docs: DataFrame, items: DataFrame, n: int = GRAM, least: float = LEA
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score")
 
 
-_latest: list = []
-
-
-def _kept(key: object, make):
-    """What make() returned for this broadcast, kept from batch to batch of a task."""
-    if not _latest or _latest[0] is not key:
-        _latest[:] = [key, make()]
-    return _latest[1]
-
-
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that hold a test item; rows with a null id stay."""
     held = cut(matches(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_held")).distinct())

@@ -13,7 +13,7 @@ large for a common passage.
    tokens foremost, those that it meets most often. Verified links are joined into components.
 4. The groups expand: ROUNDS rounds let each member propose as many centres of its buckets that
    are outside its component; members whose buckets hold one component only are done. What is
-   still apart in a bucket then meets in pairs. Pairs inside a component can't change the result
+   still apart in a bucket then meets in pairs, within bands of sizes. Pairs inside a component can't change the result
    and are never made, nor members of one group times members of another.
    A pair must also have room for its overlap from the token on by which it meets.
 5. A sketch bounds the overlap of a candidate pair from above and drops most; the rest are verified
@@ -27,6 +27,8 @@ empty table gives an empty table; further columns are ignored, so their names ca
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -319,8 +321,11 @@ def linked(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: st
         comp = merged(comp, found)
         forget(near, found)
         at = apart_in_buckets(at)
-    one, two = (at.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("gid", "n", "comp", "at"))) for k in (1, 2))
-    rest = one.join(two, "tok").where((F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("gid1") < F.col("gid2")))) & fits("n1", "at1", "n2", "at2"))
+    # Sizes of a link are of one band or of neighbouring ones, so that a bucket of many sizes falls into smaller ones.
+    width = max(1e-6, math.log(100 / percent)) * (1 + 1e-6)
+    band = F.floor(F.log("n") / width)
+    one, two = (at.select("tok", b.alias("band"), *(F.col(c).alias(f"{c}{k}") for c in ("gid", "n", "comp", "at"))) for k, b in ((1, band), (2, F.explode(F.array(band, band - 1)))))
+    rest = one.join(two, ["tok", "band"]).where((F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("gid1") < F.col("gid2")))) & fits("n1", "at1", "n2", "at2"))
     rest = rest.select(F.least("gid1", "gid2").alias("a"), F.greatest("gid1", "gid2").alias("b")).distinct()
     found = verified(docs, rest, classes, n, percent, id_col, text_col)
     comp = merged(comp, found)

@@ -18,12 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import map_batches
+from .common import map_batches, resident
 
 #: Words whose counts a Python worker keeps (about 150 bytes each); longer words are never kept.
 KEPT_WORDS, KEPT_CHARS = 300_000, 48
 MARK = "▁"  # stands for a space in the vocabulary
-_counters: dict[str, Counter] = {}
 
 
 class Counter(dict):
@@ -60,9 +59,7 @@ class Counter(dict):
 
 
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return resident(__name__, path, lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
