@@ -6,6 +6,7 @@ operator compares the bytes or the full sets afterwards, or uses 128 bits.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -17,7 +18,7 @@ from pyspark.sql.types import StructType
 from stowage.sources.shared import cut, forget  # noqa: F401  every operator's modules take them from here
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch, beyond its first row; Spark's own bound is 64 MB for each of several copies.
 BATCH_BYTES = 2 << 20
 #: Rows that a Parquet reader holds at a time.
@@ -38,6 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _begin(module: str) -> None:
+    """Drop what another operator's tasks left in this worker. (A function of the module: a nested one's globals are copies in a worker.)"""
+    if _resident and _resident[0][0] != module:
+        _resident.clear()
+
+
+def _release() -> None:
+    """Give memory back that a task used: Arrow's, and what the C library keeps of freed arrays where it can say so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow, one generator call for each batch; batches without rows are skipped.
 
@@ -47,13 +62,14 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.Reco
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
+    module = step.__module__
+
     def run(batches):
-        if _resident and _resident[0][0] != step.__module__:
-            _resident.clear()
+        _begin(module)
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
-        pa.default_memory_pool().release_unused()
+        _release()
 
     return df.mapInArrow(run, schema)
 
