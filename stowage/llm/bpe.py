@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Callable
 
 
-def merge(symbols: list[str], rank: Callable[[str, str], int | None]) -> tuple[list[str], int]:
+def merge(symbols: list[str], rank: Callable[[tuple[str, str]], float | None]) -> tuple[list[str], int]:
     """Merge until no adjacent pair has a rank: the lowest rank first, the leftmost on ties.
 
     Returns the remaining symbols and the number of merges. O(n log n) for any length.
@@ -17,14 +17,13 @@ def merge(symbols: list[str], rank: Callable[[str, str], int | None]) -> tuple[l
     sym: list[str | None] = list(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = []
-    for i in range(n - 1):
-        r = rank(sym[i], sym[i + 1])
-        if r is not None:
-            heap.append((r, i, sym[i], sym[i + 1]))
+    for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
+        if (r := rank(pair)) is not None:
+            heap.append((r, i, pair))
     heapq.heapify(heap)
     merges = 0
     while heap:
-        _, i, left, right = heapq.heappop(heap)
+        _, i, (left, right) = heapq.heappop(heap)
         if sym[i] != left or (j := after[i]) >= n or sym[j] != right:
             continue  # one of the two has been merged since
         sym[i] = left + right
@@ -33,9 +32,12 @@ def merge(symbols: list[str], rank: Callable[[str, str], int | None]) -> tuple[l
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if (r := rank(sym[i], sym[k])) is not None:
-                heapq.heappush(heap, (r, i, sym[i], sym[k]))
+            pair = sym[i], sym[k]
+            if (r := rank(pair)) is not None:
+                heapq.heappush(heap, (r, i, pair))
         h = before[i]
-        if h >= 0 and (r := rank(sym[h], sym[i])) is not None:
-            heapq.heappush(heap, (r, h, sym[h], sym[i]))
+        if h >= 0:
+            pair = sym[h], sym[i]
+            if (r := rank(pair)) is not None:
+                heapq.heappush(heap, (r, h, pair))
     return [s for s in sym if s is not None], merges

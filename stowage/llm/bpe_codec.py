@@ -63,20 +63,18 @@ class Codec:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.word_ids: dict[str, str] = {}
         self.word_text: dict[str, str] = {}
+        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
         self.known_pairs = np.zeros(0, np.int64)  # sorted
         self.pair_fits = np.zeros(0, bool)
         self.fits_alone: dict[int, bool] = {}
 
-    def rank(self, left: str, right: str) -> int | None:
-        return self.ranks.get((left, right))
-
     def symbols(self, word: str) -> list[str]:
         out = [self.letters[b] for b in word.encode()]
         out[-1] += self.end
         return out
 
     def exact(self, symbols: list[str]) -> list[int]:
-        return [self.id[s] for s in bpe.merge(symbols, self.rank)[0]]
+        return [self.id[s] for s in bpe.merge(symbols, self.ranks.get)[0]]
 
     def symbols_of(self, token: int) -> list[str]:
         text = self.token[token]
@@ -142,11 +140,15 @@ class Codec:
                 parts.append([w for k, part in enumerate(self.cut_special(text)) for w in ([part] if k % 2 else self.pieces(part))])
             else:
                 parts.append(self.pieces(text))
+        if len(self.word_ids) > KEPT_WORDS // 2:
+            # The older half goes; words in use move from it to the younger one.
+            self.older = self.word_ids, self.word_text
+            self.word_ids, self.word_text = {}, {}
         ids, decoded = self.word_ids, self.word_text
-        if len(ids) > KEPT_WORDS:
-            ids.clear()
-            decoded.clear()
         new = {w for part in parts for w in part if w not in ids}
+        for w in new.intersection(self.older[0]):
+            ids[w], decoded[w] = self.older[0][w], self.older[1][w]
+        new.difference_update(self.older[0])
         long = [w for w in new if len(w) > KEPT_CHARS]
         if new:
             inner = {w: [w] if w.isalpha() else self.find(w) for w in new if w not in self.special}  # letters, digits and marks are apart

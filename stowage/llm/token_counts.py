@@ -42,8 +42,8 @@ class Counter(dict):
         lines = any("\n" in p for p in self.piece)
         self.find = re.compile(r"[\s\S]+" if whole else r" *[^ ]+| +" if lines else r" *[^ \n]+|\n| +").findall
 
-    def rank(self, left: str, right: str) -> float | None:
-        return self.piece.get(left + right)
+    def rank(self, pair: tuple[str, str]) -> float | None:
+        return self.piece.get(pair[0] + pair[1])
 
     def __missing__(self, word: str) -> int:
         _, merges = bpe.merge(list(word), self.rank)
