@@ -386,7 +386,7 @@ def folded_deltas(spark, sf_dir):
     old, middle, new = _versions(spark, sf_dir)
     reverse = lambda a, b: contents.with_data(contents.delta(a, b, 256), b, 256)
     made = contents.fold(new, {2: reverse(new, middle), 1: reverse(middle, old)}, 1, 256)
-    return made.join(old.where("size > 0").select("id"), "id", "left_semi").select("id", F.md5("content").alias("md5"))
+    return made.select("id", F.md5("content").alias("md5")).join(old.where("size > 0").select("id"), "id", "left_semi")
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN doc_id % 256 >= 128 WHEN 1 THEN TRUE WHEN 2 THEN FALSE WHEN 3 THEN TRUE ELSE FALSE END AS ok FROM documents")
