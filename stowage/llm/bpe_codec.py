@@ -1,9 +1,10 @@
 """Operator 5: encoding and decoding with a word-end BPE vocabulary, by speculation and verification.
 
-Greedy longest match proposes the tokens of every new word of a batch. A sequence of tokens
-is what merging gives exactly if merging each adjacent pair by itself gives that pair back
-(and a lone token itself), so vectorised look-ups test all adjacent pairs of the batch;
-only words with a failing pair are merged exactly.
+Greedy longest match proposes the tokens of every new word of a batch, all words a symbol
+further at a time. A sequence of tokens is what merging gives exactly if merging each
+adjacent pair by itself gives that pair back (and a lone token itself), so vectorised
+look-ups test all adjacent pairs of the batch; only words with a failing pair are merged
+exactly, all of them together as well.
 
 Cases: null and empty texts have no tokens and decode to the empty text; text of any length
 is encoded whole; strings of special tokens inside a text become those tokens; repeated rows
@@ -17,6 +18,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +58,6 @@ class Codec:
         self.token = {i: t for t, i in [*self.id.items(), *self.special.items()]}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {pair: k for k, pair in enumerate(pairs)}
-        self.longest = max(map(len, self.id))
         self.letters = byte_letters()
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(split["pattern"]["Regex"]).findall
@@ -67,31 +68,98 @@ class Codec:
         self.known_pairs = np.zeros(0, np.int64)  # sorted
         self.pair_fits = np.zeros(0, bool)
         self.fits_alone: dict[int, bool] = {}
+        self.digits = {i: str(i) for i in self.token}
+        # Symbols are bytes, the last one of a word 256 higher; -1 stands for a symbol without a token.
+        self.symbol_id = np.array([self.id.get(x + e, -1) for e in ("", self.end) for x in self.letters], np.int32)
+        of_letter = {x: b for b, x in enumerate(self.letters)}
+        self.token_symbols = {i: self._numbers(t, of_letter) for t, i in self.id.items()}
+        known = [(self.id[a], self.id[b], k, self.id[a + b]) for (a, b), k in self.ranks.items() if a in self.id and b in self.id and a + b in self.id]
+        self.together = len(known) == len(self.ranks) and bool((self.symbol_id >= 0).all()) and max(self.id.values()) < 1 << 20
+        self.merges = bpe.Ranks(*np.array(known, np.int64).reshape(-1, 4).T)
+        self._plant()
 
-    def symbols(self, word: str) -> list[str]:
-        out = [self.letters[b] for b in word.encode()]
-        out[-1] += self.end
+    def _numbers(self, token: str, of_letter: dict[str, int]) -> list[int]:
+        ends = bool(self.end) and token.endswith(self.end) and len(token) > len(self.end)
+        out = [of_letter.get(x, -1) for x in (token[: -len(self.end)] if ends else token)]
+        if ends:
+            out[-1] += 256
         return out
 
-    def exact(self, symbols: list[str]) -> list[int]:
-        return [self.id[s] for s in bpe.merge(symbols, self.ranks.get)[0]]
+    def _plant(self) -> None:
+        """Trie of the tokens' symbols: sorted keys of (node, symbol), the node that each leads to and each node's token or -1."""
+        steps: dict[int, int] = {}
+        tokens = [-1]
+        for i, symbols in self.token_symbols.items():
+            node = 0
+            if min(symbols, default=-1) < 0:
+                continue  # no word has these symbols
+            for x in symbols:
+                node = steps.setdefault(node << 9 | x, len(tokens))
+                if node == len(tokens):
+                    tokens.append(-1)
+            tokens[node] = i
+        self.step = np.array(sorted(steps), np.int64)
+        self.leads = np.array([steps[k] for k in self.step.tolist()], np.int32)
+        self.node_token = np.array(tokens, np.int32)
 
-    def symbols_of(self, token: int) -> list[str]:
-        text = self.token[token]
-        return [*text[: -len(self.end) - 1], text[-len(self.end) - 1 :]] if self.end and text.endswith(self.end) and len(text) > len(self.end) else list(text)
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the words one after the other, and how many each has."""
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        out = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        out[np.cumsum(size) - 1] += 256
+        return out, size
 
-    def proposed(self, symbols: list[str]) -> list[int]:
+    def exact(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that merging gives, and how many each word has."""
+        owner = np.repeat(np.arange(len(size)), size)
+        short = size <= (bpe.MOST if self.together else 0)
+        out = np.full(len(symbols), -1, np.int32)
+        inside = short[owner]
+        out[inside] = bpe.merge_many(self.symbol_id[symbols[inside]], size[short], self.merges)
+        start = np.cumsum(size) - size
+        for k in np.flatnonzero(~short).tolist():
+            text = [self.letters[x & 255] + (self.end if x > 255 else "") for x in symbols[start[k] : start[k] + size[k]].tolist()]
+            found = [self.id[x] for x in bpe.merge(text, self.ranks.get)[0]]
+            out[start[k] : start[k] + len(found)] = found
+        there = out >= 0
+        return out[there], np.bincount(owner[there], minlength=len(size))
+
+    def proposed(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match."""
-        text, out, i, find = "".join(symbols), [], 0, self.id.get
-        n = len(text)
-        tail = n - len(self.end) if self.end else n + 1  # a token must not stop inside the word-end mark
-        while i < n:
-            j = min(n, i + self.longest)
-            while (found := find(text[i:j])) is None or tail <= j < n:
-                j = n - len(self.end) - 1 if tail <= j < n or j == n and self.end else j - 1
-            out.append(found)
-            i = j
-        return out
+        stop = np.cumsum(size)
+        place = stop - size  # of the next symbol
+        word, node = np.arange(len(size)), np.zeros(len(size), np.int64)
+        best, after = np.full(len(size), -1, np.int32), place.copy()
+        owners, tokens = [], []
+        while len(word):
+            key = node << 9 | symbols[np.minimum(place, len(symbols) - 1)]
+            at = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+            on = (self.step[at] == key) & (place < stop)
+            node = np.where(on, self.leads[at], 0)
+            place = place + on
+            found = self.node_token[node]
+            longer = on & (found >= 0)
+            best, after = np.where(longer, found, best), np.where(longer, place, after)
+            cut = ~on
+            owners.append(word[cut])
+            tokens.append(best[cut])
+            lost = cut & (best < 0)
+            place = np.where(cut, after, place)
+            best = np.where(cut, -1, best)
+            more = ~(cut & (after >= stop)) & ~lost
+            word, node, place, stop, best, after = word[more], node[more], place[more], stop[more], best[more], after[more]
+        owner, flat = np.concatenate(owners), np.concatenate(tokens)
+        return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(size))
+
+    def _fit(self, sequences: list[tuple[int, ...]]) -> np.ndarray:
+        """Whether merging the symbols of each sequence of tokens gives it back."""
+        symbols = [[x for t in ts for x in self.token_symbols[t]] for ts in sequences]
+        size = np.fromiter(map(len, symbols), np.int64, len(symbols))
+        flat, count = self.exact(np.fromiter((x for s in symbols for x in s), np.int64, int(size.sum())), size)
+        stop = np.cumsum(count).tolist()
+        flat = flat.tolist()
+        return np.array([tuple(flat[b - n : b]) == ts for ts, b, n in zip(sequences, stop, count.tolist(), strict=True)], bool)
 
     def _learn(self, pairs: np.ndarray, width: int) -> None:
         at = np.searchsorted(self.known_pairs, pairs)
@@ -99,33 +167,43 @@ class Codec:
         if len(new):
             if len(self.known_pairs) > 2_000_000:
                 self.known_pairs, self.pair_fits, new = np.zeros(0, np.int64), np.zeros(0, bool), pairs
-            fits = np.array([self.exact(self.symbols_of(int(p) // width) + self.symbols_of(int(p) % width)) == [int(p) // width, int(p) % width] for p in new], bool)
+            fits = self._fit(list(zip((new // width).tolist(), (new % width).tolist(), strict=True)))
             keys = np.concatenate((self.known_pairs, new))
             order = np.argsort(keys, kind="stable")
             self.known_pairs, self.pair_fits = keys[order], np.concatenate((self.pair_fits, fits))[order]
 
     def learn(self, new: list[str]) -> dict[str, tuple[str, str]]:
         """Encode words, each one pre-token, together."""
-        symbols = [self.symbols(w) for w in new]
-        tokens = [self.proposed(s) for s in symbols]
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        flat = np.fromiter((t for ts in tokens for t in ts), np.int64, int(size.sum()))
+        if not new:
+            return {}
+        symbols, length = self.symbols(new)
+        flat, size = self.proposed(symbols, length)
+        flat = flat.astype(np.int64)
         width = 1 << 20
+        owner = np.repeat(np.arange(len(new)), size)
         fails = np.zeros(len(new), bool)
-        if len(flat) > 1:
-            owner = np.repeat(np.arange(len(new)), size)
-            inside = owner[1:] == owner[:-1]
-            keys, owner = (flat[:-1] * width + flat[1:])[inside], owner[:-1][inside]
-            self._learn(np.unique(keys), width)
-            fails[owner[~self.pair_fits[np.searchsorted(self.known_pairs, keys)]]] = True
-        for k in np.flatnonzero(size == 1):
-            t = tokens[k][0]
-            if t not in self.fits_alone:
-                self.fits_alone[t] = self.exact(self.symbols_of(t)) == [t]
-            fails[k] = not self.fits_alone[t]
-        for k in np.flatnonzero(fails):
-            tokens[k] = self.exact(symbols[k])
-        return {w: (" ".join(map(str, ts)), " ".join([self.token[t] for t in ts])) for w, ts in zip(new, tokens, strict=True)}
+        fails[owner[flat < 0]] = True
+        inside = (owner[1:] == owner[:-1]) & ~fails[owner[1:]]
+        keys = (flat[:-1] * width + flat[1:])[inside]
+        self._learn(np.unique(keys), width)
+        if len(keys):
+            fails[owner[:-1][inside][~self.pair_fits[np.searchsorted(self.known_pairs, keys)]]] = True
+        lone = (size == 1) & ~fails
+        alone = flat[np.cumsum(size)[lone] - 1]
+        if unknown := [(t,) for t in set(alone.tolist()) if t not in self.fits_alone]:
+            self.fits_alone.update(zip((t for (t,) in unknown), self._fit(unknown).tolist(), strict=True))
+        fails[np.flatnonzero(lone)[[not self.fits_alone[t] for t in alone.tolist()]]] = True
+        merged, count = self.exact(symbols[np.repeat(fails, length)], length[fails])
+        digits, token = self.digits, self.token
+        out = {}
+        for which, tokens, counts in ((~fails, flat[~fails[owner]], size[~fails]), (fails, merged, count)):
+            tokens, stop = tokens.tolist(), np.cumsum(counts).tolist()
+            numbers, texts = [digits[t] for t in tokens], [token[t] for t in tokens]
+            a = 0
+            for k, b in zip(np.flatnonzero(which).tolist(), stop, strict=True):
+                out[new[k]] = " ".join(numbers[a:b]), " ".join(texts[a:b])
+                a = b
+        return out
 
     def pieces(self, text: str) -> list[str]:
         """Words of a normalised text, between its special tokens."""
@@ -145,23 +223,29 @@ class Codec:
             self.older = self.word_ids, self.word_text
             self.word_ids, self.word_text = {}, {}
         ids, decoded = self.word_ids, self.word_text
-        new = {w for part in parts for w in part if w not in ids}
-        for w in new.intersection(self.older[0]):
+        new = set().union(*parts).difference(ids, self.special)
+        for w in [w for w in new if w in self.older[0]]:
             ids[w], decoded[w] = self.older[0][w], self.older[1][w]
-        new.difference_update(self.older[0])
+            new.discard(w)
         long = [w for w in new if len(w) > KEPT_CHARS]
         if new:
-            inner = {w: [w] if w.isalpha() else self.find(w) for w in new if w not in self.special}  # letters, digits and marks are apart
-            found = self.learn(list({p for ps in inner.values() for p in ps}))
-            for w, ps in inner.items():
-                ids[w] = " ".join([found[p][0] for p in ps])
-                decoded[w] = " ".join([found[p][1] for p in ps])
-            for w, i in self.special.items():
-                ids[w], decoded[w] = str(i), w
+            mixed = {w: self.find(w) for w in new if not w.isalpha()}  # letters, digits and marks are apart
+            plain = new.difference(mixed)
+            found = self.learn(list(plain.union(*mixed.values())))
+            for w in plain:
+                ids[w], decoded[w] = found[w]
+            for w, ps in mixed.items():
+                ids[w], decoded[w] = found[ps[0]] if len(ps) == 1 else (" ".join([found[p][0] for p in ps]), " ".join([found[p][1] for p in ps]))
+        for w, i in self.special.items():
+            ids[w], decoded[w] = str(i), w
         out = []
         for part in parts:
-            numbers = " ".join(map(ids.__getitem__, part))
-            out.append((numbers.count(" ") + 1 if part else 0, numbers, " ".join(map(decoded.__getitem__, part))))
+            if len(part) < 2:
+                out.append((ids[part[0]].count(" ") + 1, ids[part[0]], decoded[part[0]]) if part else (0, "", ""))
+                continue
+            every = itemgetter(*part)
+            numbers = " ".join(every(ids))
+            out.append((numbers.count(" ") + 1, numbers, " ".join(every(decoded))))
         for w in long:
             del ids[w], decoded[w]
         return out
