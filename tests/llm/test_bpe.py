@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 import tokenizers
 
-from stowage.llm import bpe, bpe_codec
+from stowage.llm import bpe, bpe_codec, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -59,3 +59,20 @@ def test_words_are_not_merged_one_by_one(monkeypatch):
     monkeypatch.setattr(bpe, "merge", lambda *a: calls.append(a) or one(*a))
     bpe_codec.Codec(PATH).encode_batch(invented(60))
     assert all(len(symbols) > 64 for symbols, _ in calls)
+
+
+def test_piece_counts_of_a_batch_as_the_library(monkeypatch):
+    """New words are merged together, those of over 64 symbols or with runs of spaces (equal scores) by the heap."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [*(t.replace(" x", "   x") + " ꙮ\n 𐍈é▁ " for t in invented(120)), "", "     ", "a" * 300, "ࠀ߿𐍈" * 5]
+    calls = []
+    one = bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda *a: calls.append(a) or one(*a))
+    monkeypatch.setattr(token_counts, "KEPT_WORDS", 600)  # the caches change over too
+    counter = token_counts.Counter(path)
+    got = [n for k in range(0, len(texts), 10) for n in counter.counts(texts[k : k + 10])]
+    assert got == [len(model.encode(t)) for t in texts]
+    assert calls and all(len(symbols) > 64 or "  " in "".join(symbols) for symbols, _ in calls)
