@@ -17,7 +17,7 @@ large for a common passage.
    and are never made, nor members of one group times members of another.
    A pair must also have room for its overlap from the token on by which it meets.
 5. A sketch bounds the overlap of a candidate pair from above and drops most; the rest are verified
-   on whole sets.
+   on whole sets. Sketches and sets are shuffled once, by pair; pairs carry the components that they join.
 
 Cases: null and empty texts, and texts of white space, have no shingles and link with nothing;
 texts of fewer words than n are one shingle; long texts are read whole; rows that repeat a
@@ -28,21 +28,20 @@ empty table gives an empty table; further columns are ignored, so their names ca
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, forget, gram_hashes, map_batches, mix, slices, word_hashes, words
-from .components import components, merged
+from .common import MAX_BROADCAST, bounded, cut, encoded, forget, gram_hashes, map_batches, mix, slices, word_hashes, words
+from .components import components, relabelled
 
 #: A shingle in so many prefixes is put last in the order.
 HOT = 32
 #: Rounds in which the rows of a bucket meet a centre, before all pairs that are still apart; centres of similar buckets; proposals of a row in a round.
 ROUNDS, CENTRES, PROPOSE = 3, 4, 2
-#: Rows of a table of one or two numbers that may be broadcast; a larger one is joined by shuffling.
-MAX_BROADCAST = 500_000
 #: Bytes of text that one step makes shingles of.
 STEP_BYTES = 1 << 20
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -133,14 +132,9 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
     return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), step, "id long, n long, k1 long, k2 long, p long, pre array<long>, sk binary")
 
 
-def _bounded(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
-    """df, to be broadcast if it has at most ``most`` rows; df must be cheap to read twice."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, grams): whole sets of the documents in ids, as 8-byte hashes in order."""
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(_bounded(ids), "id", "left_semi")
+    """(id, grams): whole sets of the documents in ids, as 8-byte hashes in order; docs has each row once."""
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(bounded(ids), "id", "left_semi")
 
     def step(batch: pa.RecordBatch):
         texts = encoded(batch.column(1))
@@ -149,35 +143,50 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -
             stop = np.cumsum(per)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([grams[i:j].tobytes() for i, j in zip(stop - per, stop, strict=True)], pa.binary())], names=["id", "grams"])
 
-    return map_batches(found, step, "id long, grams binary").distinct()
+    return map_batches(found, step, "id long, grams binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (a, b) of documents that reach the threshold."""
-
-    def bound(batch: pa.RecordBatch):
-        c = [x.to_pylist() for x in batch.columns]
-        keep = [(u := overlap_bound(s, t)) is None or u >= least_overlap(x, y, percent) for x, y, s, t in zip(*c[2:], strict=True)]
-        yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in batch.columns[:2]], names=["a", "b"])
-
-    def exact(batch: pa.RecordBatch):
-        c = [x.to_pylist() for x in batch.columns]
-        keep = []
-        for s, t in zip(*c[2:], strict=True):
-            x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in batch.columns[:2]], names=["a", "b"])
-
-    sk = classes.select(F.col("gid"), "n", "sk")
-    close = pairs.join(sk.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("sk").alias("sa")), "a")
-    close = close.join(sk.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("sk").alias("sb")), "b")
-    close = cut(map_batches(close.select("a", "b", "na", "nb", "sa", "sb"), bound, "a long, b long").distinct())
-    ids = cut(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())
-    sets = cut(_sets(docs, ids, n, id_col, text_col))
-    both = close.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("sb")), "b")
-    found = cut(map_batches(both.select("a", "b", "sa", "sb"), exact, "a long, b long").distinct())
-    forget(close, ids, sets)
+    """(u, v) of those pairs (a, b, u, v) whose documents a < b reach the threshold. Pairs may repeat; they are cut, and docs has each row once.
+
+    Few pairs are broadcast to sketches and sets, so that only what pairs need is shuffled, and that once, by pair.
+    """
+    pair = ["a", "b", "u", "v"]
+
+    def sides(pairs: DataFrame) -> DataFrame:
+        """(id, other, u, v): each pair from both of its ends."""
+        one = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("end"), "u", "v")
+        return bounded(one.select("end.*", "u", "v"), MAX_BROADCAST // 2)
+
+    def met(values: DataFrame, ends: DataFrame, value: Column) -> DataFrame:
+        """A row for each pair, with the values that its ends have. (An id with several texts has several.)"""
+        low = F.col("id") < F.col("other")
+        found = values.join(ends, "id").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "u", "v", low.alias("low"), value.alias("value"))
+        return found.groupBy(*pair).agg(F.collect_set(F.when(F.col("low"), F.col("value"))).alias("of_a"), F.collect_set(F.when(~F.col("low"), F.col("value"))).alias("of_b"))
+
+    def holds(test: Callable) -> Callable:
+        def step(batch: pa.RecordBatch):
+            keep = [any(test(x, y) for x in xs for y in ys) for xs, ys in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:4]], names=pair)
+
+        step.__module__ = __name__
+        return step
+
+    def bound(x: dict, y: dict) -> bool:
+        return (most := overlap_bound(x["sk"], y["sk"])) is None or most >= least_overlap(x["n"], y["n"], percent)
+
+    def exact(s: bytes, t: bytes) -> bool:
+        x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    schema = ", ".join(f"{c} long" for c in pair)
+    sketches = met(classes.select(F.col("gid").alias("id"), F.struct("n", "sk").alias("value")), sides(pairs), F.col("value"))
+    close = cut(map_batches(sketches, holds(bound), schema))
+    ends = sides(close)
+    sets = met(_sets(docs, ends.select("id"), n, id_col, text_col), ends, F.col("grams"))
+    found = cut(map_batches(sets, holds(exact), schema).select("u", "v"))
+    forget(close)
     return found
 
 
@@ -193,7 +202,7 @@ def _whole_counts(sets: DataFrame) -> DataFrame:
 
 def _hot_lists(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """(gid, hot): the hot tokens among the rows (gid, tok) of each gid, with their counts."""
-    found = rows.join(_bounded(hot), "tok").groupBy("gid").agg(F.collect_list(F.struct("tok", "df")).alias("hot"))
+    found = rows.join(bounded(hot), "tok").groupBy("gid").agg(F.collect_list(F.struct("tok", "df")).alias("hot"))
     return found.select("gid", F.col("hot.tok").alias("hot_tok"), F.col("hot.df").alias("hot_df"))
 
 
@@ -268,10 +277,10 @@ def prefixes(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col:
 
 
 def linked(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
-    """(gid, comp) of the classes with a prefix token that others share, as a cut frame; comp is the smallest gid that links of the threshold reach."""
+    """(grp, gid, n, comp) of the classes with a prefix token that others share, as a cut frame; comp is the smallest gid that links of the threshold reach."""
     pre = prefixes(docs, classes, n, percent, id_col, text_col, hot)
     groups = pre.groupBy("n", "pk").agg(F.min(F.struct("gid", "toks")).alias("g")).select("n", "pk", F.col("g.gid").alias("grp"), F.col("g.toks").alias("toks"))
-    members = cut(pre.join(groups.select("n", "pk", "grp"), ["n", "pk"]).select("grp", "gid", "n"))
+    comp = cut(pre.join(groups.select("n", "pk", "grp"), ["n", "pk"]).select("grp", "gid", "n", F.col("gid").alias("comp")))
     # A group's own token joins its members; a prefix token joins groups.
     rows = cut(groups.select("grp", "n", F.explode("toks").alias("t")).select("grp", "n", "t.tok", "t.at"))
     forget(pre)
@@ -282,54 +291,55 @@ def linked(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: st
         return sizes & (F.least(F.col(n1) - F.col(at1), F.col(n2) - F.col(at2)) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent)
 
     def proposals(met: DataFrame) -> DataFrame:
-        """Of the pairs (gid, other) at most PROPOSE for each gid: those that meet in most buckets. At most one pair for each prefix token of a gid."""
-        most = met.groupBy("gid", "other").agg(F.count("*").alias("k")).groupBy("gid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "other"))), 1, PROPOSE).alias("best"))
-        pairs = most.select("gid", F.explode("best.other").alias("other"))
-        return pairs.select(F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b")).distinct()
+        """Of the pairs (gid, other, u, v) at most PROPOSE for each gid: those that meet in most buckets. At most one pair for each prefix token of a gid."""
+        counted = met.repartition("gid").groupBy("gid", "other", "u", "v").agg(F.count("*").alias("k"))
+        most = counted.groupBy("gid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "other", "u", "v"))), 1, PROPOSE).alias("best"))
+        return most.select("gid", F.explode("best").alias("x")).select(*pair("gid", "x.other", "x.u", "x.v"))
+
+    def pair(a: str, b: str, u: str, v: str) -> list[Column]:
+        return [f(x, y).alias(c) for x, y, names in ((a, b, "ab"), (u, v, "uv")) for f, c in zip((F.least, F.greatest), names, strict=True)]
 
     # What stands first has fewest tokens of its own: of edited copies it is the one most like all others.
     least = rows.groupBy("tok").agg(F.min(F.struct("at", "n", "grp")).alias("m"), F.count("*").alias("size")).where("size > 1")
-    star = rows.join(least, "tok").where((F.col("m.grp") != F.col("grp")) & fits("m.n", "m.at", "n", "at")).select(F.col("grp").alias("gid"), F.col("m.grp").alias("other"))
-    inner = members.where("grp <> gid").select(F.col("grp").alias("a"), F.col("gid").alias("b"))
-    found = verified(docs, proposals(star).union(inner).distinct(), classes, n, percent, id_col, text_col)
-    comp = merged(cut(members.select("gid", F.col("gid").alias("comp"))), found)
-    forget(found)
-
-    def apart_in_buckets(before: DataFrame | None) -> DataFrame:
-        """Rows of members with their components, of the buckets that hold several components; only buckets that did so before can."""
-        if before is None:
-            at = rows.drop("n").join(members, "grp").join(comp, "gid").select("tok", "at", "gid", "n", "comp")
-        else:
-            at = before.drop("comp").join(comp, "gid").select("tok", "at", "gid", "n", "comp")
-        mixed = at.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-        out = cut(at.join(mixed, "tok", "left_semi"))
-        if before is not None:
-            forget(before)
+    star = rows.join(least, "tok").where((F.col("m.grp") != F.col("grp")) & fits("m.n", "m.at", "n", "at")).select(F.col("grp").alias("gid"), F.col("m.grp").alias("other"), F.col("grp").alias("u"), F.col("m.grp").alias("v"))
+    inner = comp.where("grp <> gid").select(*pair("grp", "gid", "grp", "gid"))
+    near = cut(proposals(star).union(inner))
+
+    def joined(*tables: DataFrame) -> list[DataFrame]:
+        """The tables with the components that the pairs in ``near`` join made one, cut anew."""
+        found = verified(docs, near, classes, n, percent, id_col, text_col)
+        of = components(found, "u", "v")
+        out = [cut(relabelled(t, of)) for t in tables]
+        forget(near, found, of, *(t for t in tables if hasattr(t, "cut_path")))
         return out
 
-    # What is in a component already needs no pair. Further rounds pair the rows of a bucket with other centres of it.
-    at = apart_in_buckets(None)
-    for k in range(ROUNDS):
+    (comp,) = joined(comp)
+    # What is in a component already needs no pair. Each round pairs the rows of a bucket of several components with another centre of it.
+    at = cut(rows.drop("n").join(comp, "grp").select("tok", "at", "gid", "n", "comp"))
+    for k in range(ROUNDS + 1):
         order = F.struct(F.floor(F.col("at") / 4), F.xxhash64("gid", F.pmod("tok", F.lit(CENTRES)), F.lit(k)))
-        centre = at.groupBy("tok").agg(F.min(F.struct(order.alias("o"), "gid", "n", "comp", "at")).alias("m"))
-        near = at.join(centre, "tok").where((F.col("comp") != F.col("m.comp")) & fits("n", "at", "m.n", "m.at"))
-        near = cut(proposals(near.select("gid", F.col("m.gid").alias("other"))))
+        mixed = cut(at.groupBy("tok").agg(F.min(F.struct(order.alias("o"), "gid", "n", "comp", "at")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", "m"))
+        left = cut(at.join(bounded(mixed.select("tok")), "tok", "left_semi"))
+        forget(at)
+        at = left
+        if k == ROUNDS:
+            forget(mixed)
+            break
+        apart = at.join(bounded(mixed, MAX_BROADCAST // 4), "tok").where((F.col("comp") != F.col("m.comp")) & fits("n", "at", "m.n", "m.at"))
+        near = cut(proposals(apart.select("gid", F.col("m.gid").alias("other"), F.col("comp").alias("u"), F.col("m.comp").alias("v"))))
+        forget(mixed)
         if not near.limit(1).count():
             forget(near)
             break
-        found = verified(docs, near, classes, n, percent, id_col, text_col)
-        comp = merged(comp, found)
-        forget(near, found)
-        at = apart_in_buckets(at)
+        comp, at = joined(comp, at)
     # Sizes of a link are of one band or of neighbouring ones, so that a bucket of many sizes falls into smaller ones.
     width = max(1e-6, math.log(100 / percent)) * (1 + 1e-6)
     band = F.floor(F.log("n") / width)
     one, two = (at.select("tok", b.alias("band"), *(F.col(c).alias(f"{c}{k}") for c in ("gid", "n", "comp", "at"))) for k, b in ((1, band), (2, F.explode(F.array(band, band - 1)))))
     rest = one.join(two, ["tok", "band"]).where((F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("gid1") < F.col("gid2")))) & fits("n1", "at1", "n2", "at2"))
-    rest = rest.select(F.least("gid1", "gid2").alias("a"), F.greatest("gid1", "gid2").alias("b")).distinct()
-    found = verified(docs, rest, classes, n, percent, id_col, text_col)
-    comp = merged(comp, found)
-    forget(found, at, members, rows)
+    near = cut(rest.select(*pair("gid1", "gid2", "comp1", "comp2")).distinct())
+    (comp,) = joined(comp)
+    forget(at, rows)
     return comp
 
 
@@ -339,13 +349,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     sets = every.where("n > 0 and id is not null")
     key = ["n", "k1", "k2"]
     classes = cut(sets.groupBy(*key).agg(F.min(F.struct("id", "p", "pre", "sk")).alias("m")).select(*key, F.col("m.id").alias("gid"), "m.p", "m.pre", "m.sk"))
-    found = linked(docs, classes, n, percent, id_col, text_col, hot)
-    of_class = cut(classes.select(*key, "gid").join(found, "gid", "left").select(*key, "gid", F.coalesce("comp", "gid").alias("comp")))
+    again = cut(sets.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
+    repeats = again.limit(1).count() > 0
+    # Whole sets are made of each row once.
+    once = cut(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).distinct()) if repeats else docs
+    found = linked(once, classes, n, percent, id_col, text_col, hot)
+    comp = cut(classes.select(*key, "gid").join(found.select("gid", "comp"), "gid", "left").select(*key, F.coalesce("comp", "gid").alias("comp")))
     forget(classes, found)
-    # A doc_id that stands in several classes joins them.
-    ids = sets.select("id", *key).join(of_class, key).select("id", "comp")
-    again = ids.groupBy("id").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
-    several = cut(ids.join(again.select("id", "a"), "id").where("comp <> a").select("a", F.col("comp").alias("b")).distinct())
-    of = components(several)
-    comp = of_class.join(of, of_class["comp"] == of["node"], "left").select(*key, F.coalesce("component", "comp").alias("comp"))
+    if repeats:
+        # A doc_id that stands in several classes joins them.
+        forget(once)
+        ids = cut(sets.select("id", *key).join(again, "id", "left_semi").join(comp, key).select("id", "comp"))
+        least = ids.groupBy("id").agg(F.min("comp").alias("a"))
+        of = components(cut(ids.join(least, "id").where("comp <> a").select("a", F.col("comp").alias("b")).distinct()))
+        comp = cut(relabelled(comp, of))
     return every.select("id", *key).join(comp, key, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))

@@ -288,3 +288,16 @@ def test_run_against_brute_force(spark, tmp_path):
     want = {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in kept.items()}
     got = {x["doc_id"]: x["n_tokens"] for x in pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_few_pairs_take_one_shuffle_for_sketches_and_one_for_sets(spark, monkeypatch):
+    """Pairs that may be broadcast; an id with two texts has the links of both."""
+    one, two, other = ("a b c d e f g h", "p q r s t u v w", "k l m n o")
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one + " i"), (3, two + " x"), (4, other)], "doc_id long, text string")
+    classes = jaccard.signatures(docs, 4, 80, "doc_id", "text").withColumnRenamed("id", "gid").cache()
+    pairs = spark.createDataFrame([(1, 2, 11, 12), (1, 3, 11, 13), (2, 3, 12, 13), (1, 4, 11, 14), (1, 2, 11, 12)], "a long, b long, u long, v long")
+    shuffles, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or cut(df))
+    found = jaccard.verified(docs, pairs, classes, 4, 80, "doc_id", "text")
+    assert {(r["u"], r["v"]) for r in found.collect()} == {(11, 12), (11, 13)}
+    assert shuffles == [1, 1]
