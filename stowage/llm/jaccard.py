@@ -81,6 +81,12 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n + (-(percent * n) // 100) + 1, 0)
 
 
+def kept_size(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a set's first shingles are kept: its prefix and some beyond."""
+    p = prefix_size(n, percent)
+    return np.minimum(n, p + p // 4 + 4)
+
+
 def least_overlap(a, b, percent: int):
     """Smallest intersection of sets of these sizes that reaches the threshold."""
     return -(-percent * (a + b) // (100 + percent))
@@ -122,7 +128,7 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
             sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(s))))) for s in (1, 0x9E3779B97F4A7C15)]
             k1, k2 = ((s[stop] - s[start]).astype(np.int64) for s in sums)
             p = prefix_size(per, percent)
-            kept = np.minimum(per, p + p // 4 + 4)
+            kept = kept_size(per, percent)
             place = np.arange(len(grams)) - np.repeat(start, per)
             pre = tokens(grams[place < np.repeat(kept, per)])
             at = np.concatenate(([0], np.cumsum(kept))).astype(np.int32)
@@ -190,16 +196,46 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, perc
     return found
 
 
-def _whole_counts(sets: DataFrame) -> DataFrame:
-    """(tok, df): how many of these whole sets hold each token."""
+def _windows(wholes: list[bytes], percent: int, a: int, b: int | None = None) -> list[np.ndarray]:
+    """Of each whole set the tokens from a to b times the number that its signature keeps, or from there to the end."""
+    size = kept_size(np.array([len(w) // 8 for w in wholes]), percent)
+    return [tokens(np.frombuffer(w, np.uint64)[a * k : None if b is None else b * k]) for w, k in zip(wholes, size, strict=True)]
+
+
+def _window_counts(sets: DataFrame, percent: int, a: int, b: int) -> DataFrame:
+    """(tok, df): how many of these sets (gid, grams) hold each token in that window of theirs."""
 
     def count(batch: pa.RecordBatch):
-        toks, df = np.unique(tokens(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)), return_counts=True)
+        toks, df = np.unique(np.concatenate(_windows(batch.column(0).to_pylist(), percent, a, b)), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(toks), pa.array(df.astype(np.int64))], names=["tok", "df"])
 
     return map_batches(sets.select("grams"), count, "tok long, df long").groupBy("tok").agg(F.sum("df").alias("df"))
 
 
+def _window_rows(sets: DataFrame, percent: int, a: int, b: int | None = None) -> DataFrame:
+    """(gid, tok): a row for each token of such a window."""
+
+    def spread(batch: pa.RecordBatch):
+        each = _windows(batch.column(1).to_pylist(), percent, a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in each])), pa.array(np.concatenate(each))], names=["gid", "tok"])
+
+    return map_batches(sets.select("gid", "grams"), spread, "gid long, tok long")
+
+
+def _lacking(sets: DataFrame, hot_rows: DataFrame, percent: int, b: int) -> DataFrame:
+    """Those of the sets (gid, grams) that go on behind this window and hold too few cold tokens for their prefix up to there."""
+
+    def step(batch: pa.RecordBatch):
+        keep = []
+        for whole, x, h in zip(batch.column(1).to_pylist(), _windows(batch.column(1).to_pylist(), percent, 0, b), batch.column(2), strict=True):
+            cold = len(x) - int(np.isin(x, h.values.to_numpy()).sum()) if h.is_valid else len(x)
+            keep.append(len(x) < len(whole) // 8 and cold < int(prefix_size(np.array(len(whole) // 8), percent)))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["gid", "grams"])
+
+    lists = _hot_lists(_window_rows(sets, percent, 0, b), hot_rows)
+    return map_batches(sets.join(lists, "gid", "left").select("gid", "grams", "hot_tok"), step, "gid long, grams binary")
+
+
 def _hot_lists(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """(gid, hot): the hot tokens among the rows (gid, tok) of each gid, with their counts."""
     found = rows.join(bounded(hot), "tok").groupBy("gid").agg(F.collect_list(F.struct("tok", "df")).alias("hot"))
@@ -238,17 +274,21 @@ def prefixes(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col:
     chosen = cut(chosen_by(hot_rows))
     found = counts.select("tok")
     if chosen.where("short").limit(1).count():
-        # Past the tokens counted so far, a short document's next ones can be as frequent: count them whole.
-        sets = cut(_sets(docs, chosen.where("short").select(F.col("gid").alias("id")), n, id_col, text_col))
-        again = cut(hot_rows.union(_whole_counts(sets).where(F.col("df") >= hot)).groupBy("tok").agg(F.max("df").alias("df")))
-        forget(hot_rows, chosen, sets)
-        hot_rows, chosen = again, cut(chosen_by(again))
-        sets = cut(_sets(docs, chosen.where("short").select(F.col("gid").alias("id")), n, id_col, text_col).withColumnRenamed("id", "gid"))
-
-        def spread(batch: pa.RecordBatch):
-            each = [len(g) // 8 for g in batch.column(1).to_pylist()]
-            toks = tokens(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), each)), pa.array(toks)], names=["gid", "tok"])
+
+        def short_sets() -> DataFrame:
+            return cut(_sets(docs, chosen.where("short").select(F.col("gid").alias("id")), n, id_col, text_col).withColumnRenamed("id", "gid"))
+
+        # Past the tokens counted so far, a short document's next ones can be as frequent: count as many again, until it has enough rare ones or ends.
+        sets, seen = short_sets(), 1
+        while sets.limit(1).count():
+            again = cut(hot_rows.union(_window_counts(sets, percent, seen, 2 * seen).where(F.col("df") >= hot)).groupBy("tok").agg(F.max("df").alias("df")))
+            seen *= 2
+            left = cut(_lacking(sets, again, percent, seen))
+            forget(hot_rows, sets)
+            hot_rows, sets = again, left
+        forget(chosen, sets)
+        chosen = cut(chosen_by(hot_rows))
+        sets = short_sets()
 
         def extend(batch: pa.RecordBatch):
             toks, size = [], []
@@ -260,7 +300,7 @@ def prefixes(docs: DataFrame, classes: DataFrame, n: int, percent: int, id_col:
                 size.append(len(t))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(toks, pa.list_(pa.int64()))], names=["gid", "n", "toks"])
 
-        lists = _hot_lists(map_batches(sets, spread, "gid long, tok long"), hot_rows)
+        lists = _hot_lists(_window_rows(sets, percent, 0), hot_rows)
         longer = cut(map_batches(sets.join(lists, "gid", "left").select("gid", "grams", "hot_tok", "hot_df"), extend, "gid long, n long, toks array<long>"))
         # Tokens that only longer prefixes reach have not been counted above.
         found = cut(found.union(longer.select(F.explode("toks").alias("tok"))).distinct())

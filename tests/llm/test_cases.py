@@ -301,3 +301,25 @@ def test_few_pairs_take_one_shuffle_for_sketches_and_one_for_sets(spark, monkeyp
     found = jaccard.verified(docs, pairs, classes, 4, 80, "doc_id", "text")
     assert {(r["u"], r["v"]) for r in found.collect()} == {(11, 12), (11, 13)}
     assert shuffles == [1, 1]
+
+
+def test_tokens_are_counted_only_as_far_as_prefixes_need_them(spark, monkeypatch):
+    """A passage that all texts share makes their first tokens frequent; their own tokens beyond what a prefix needs aren't counted."""
+    r = random.Random(8)
+    passage = [f"common{i}" for i in range(60)]
+    texts = [passage + [f"own{d}x{r.randrange(10**9)}" for _ in range(140)] for d in range(60)]
+    texts += [[w if k != d % 200 else "edit" for k, w in enumerate(texts[0])] for d in range(70, 90)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    made, map_batches = [], jaccard.map_batches
+
+    def counting(df, step, schema):
+        found = map_batches(df, step, schema)
+        if schema == "tok long, df long":
+            made.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "map_batches", counting)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_components(docs, 5, 80, hot=8).collect()}
+    assert got == {i: 0 if i >= 60 else i for i in range(80)}
+    own = 60 * 140
+    assert 0 < sum(made) < own / 2
